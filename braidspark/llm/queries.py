@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidspark.llm import decontam, langid, mixing, tokenstore
+from braidspark.llm import chat, decontam, langid, mixing, tokenstore, topk, urlfilter
 from braidspark.llm.common import held_out, read_table, scratch_path
 
 END_ID = 1
@@ -22,12 +22,24 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenstore.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
@@ -40,5 +52,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op4_language_id, op9_token_store, op10_benchmark_decontamination)
+    for f in (
+        op1_source_mixing,
+        op3_url_filters,
+        op4_language_id,
+        op6_exact_top_k,
+        op7_chat_formatting,
+        op9_token_store,
+        op10_benchmark_decontamination,
+    )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidspark.llm import chat, decontam, langid, mixing, tokenstore, topk, urlfilter
+from braidspark.llm import chat, decontam, langid, minhash, mixing, suffixdedup, tokenstore, topk, urlfilter
 from braidspark.llm.common import held_out, read_table, scratch_path
 
 END_ID = 1
@@ -32,6 +32,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -40,6 +45,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenstore.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
@@ -56,8 +65,10 @@ QUERIES = {
         op1_source_mixing,
         op3_url_filters,
         op4_language_id,
+        op5_minhash_near_dedup,
         op6_exact_top_k,
         op7_chat_formatting,
+        op8_suffix_array_dedup,
         op9_token_store,
         op10_benchmark_decontamination,
     )

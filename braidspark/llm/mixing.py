@@ -156,3 +156,24 @@ def taken_by_document(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     joined = rows.join(named, on[0] & on[1] & on[2], "left").withColumn("all_taken", F.coalesce("all_taken", F.lit(0)))
     share = F.floor(F.col("all_taken") / F.col("copies")) + (F.col("copy") <= F.col("all_taken") % F.col("copies")).cast("long")
     return joined.select(*keys, "size", "source_size", "target", share.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, columns: list[str], block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as documents: `columns` (with doc_id, text, source, n_chars) of every reading of a document.
+
+    A reading whose last blocks the mix does not take is cut behind its last taken word, with n_chars to match. Readings
+    that take no word give no row. Rows come in no order; the mix's order is `mix`'s position.
+    """
+    documents, pieces = mix(docs, block_words=block_words)
+    keys = ["doc_id", "text_hash", "source"]
+    # a reading's place in its source's stream tells the copies of equal rows apart
+    readings = pieces.withColumn("stream_at", F.col("begins") - F.col("first_word")).groupBy(*keys, "stream_at").agg(F.sum("n_words").alias("words"))
+    named = readings.select(*[F.col(c).alias(f"_{c}") for c in keys], "words")
+    rows = docs.select(*columns).dropDuplicates(["doc_id", "text", "source"]).withColumn("text_hash", F.xxhash64("text")).withColumn("size", size_in_words(F.col("text")))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    joined = rows.join(named, on[0] & on[1] & on[2])
+    # the first `words` words, with the blanks before and between them: at most one reading a source is cut
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)), 1, F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text"))
+    out = joined.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*columns)

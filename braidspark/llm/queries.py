@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidspark.llm import chat, decontam, langid, minhash, mixing, suffixdedup, tokenstore, topk, urlfilter
+from braidspark.llm import chat, decontam, langid, minhash, mixing, quality, suffixdedup, tokenstore, topk, urlfilter
 from braidspark.llm.common import held_out, read_table, scratch_path
 
 END_ID = 1
@@ -22,6 +22,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality.train(docs.where(~F.col("held_out")), labels)
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -63,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing,
+        op2_quality_classifier,
         op3_url_filters,
         op4_language_id,
         op5_minhash_near_dedup,

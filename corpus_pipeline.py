@@ -1,8 +1,69 @@
-"""A training corpus from `documents`: language ID, near-dedup, decontamination, mixing, token ids."""
+"""A training corpus from `documents`, in five stages.
 
-STAGES: list = []
+Language ID drops what has no letters or no sure language, near-dedup keeps one document of each group,
+decontamination drops documents that hold benchmark items, mixing repeats and cuts documents to the sources'
+target weights, and the last stage gives every mixed document its place in a token store.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidspark.llm import decontam, langid, minhash, mixing, queries, tokenstore
+from braidspark.llm.common import materialize, read_table, scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language's score below this is no decision.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of a language; the model learns from all rows with a lang. Their lang becomes the predicted one."""
+    model = langid.train(docs)
+    kept = langid.predict(docs, model, list(COLUMNS)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class."""
+    classes = minhash.near_duplicates(docs)
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold at least 0.8 of a benchmark item's shingles."""
+    found = materialize(decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each reading of a document that the mix takes, in whole or up to the words it takes."""
+    return mixing.mixed_documents(docs, list(COLUMNS))
+
+
+def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every mixed document, from the token store."""
+    path = scratch_path(spark, "tokens")
+    tokenstore.write_tokens(docs, path, queries.tokenizer_file(), queries.END_ID)
+    return tokenstore.digest_tokens(spark, path)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", store_tokens),
+]
+
+#: SQL can express neither the language model nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,201 @@
-"""Queries of the alignment engine over BAM files made from the driver's tables."""
+"""Queries of the alignment engine over BAM files made from the driver's tables, with their DuckDB SQL.
+
+Every query reads through the ``bam`` data source; the SQL computes the same from the table the file was made of.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidspark import api, fixtures
+from braidspark.functions.flags import FLAG_COLUMNS
+from braidspark.operators import counting, rewrite
+
+EIGHT = list(fixtures.FIELDS)
+
+
+def _read(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, **options) -> DataFrame:
+    return api.read_bam(spark, fixtures.bam_of(spark, sf_dir), columns=columns, **options)
+
+
+def count_all(spark, sf_dir):
+    return api.count_by_split(spark, fixtures.bam_of(spark, sf_dir)).agg(F.sum("records").alias("n"))
+
+
+def count_mapped(spark, sf_dir):
+    return api.count_by_split(spark, fixtures.bam_of(spark, sf_dir)).agg(F.sum("mapped").alias("n"))
+
+
+def count_unmapped(spark, sf_dir):
+    return _read(spark, sf_dir, ["is_unmapped"]).where("is_unmapped").agg(F.count("*").alias("n"))
+
+
+def count_summary(spark, sf_dir):
+    return counting.summary(_read(spark, sf_dir, ["is_unmapped"]))
+
+
+def scan_fields(spark, sf_dir):
+    return _read(spark, sf_dir, EIGHT)
+
+
+def flag_predicates(spark, sf_dir):
+    return _read(spark, sf_dir, ["query_name", *FLAG_COLUMNS])
+
+
+def flag_counts(spark, sf_dir):
+    return _read(spark, sf_dir, list(FLAG_COLUMNS)).agg(*[F.count_if(c).alias(c) for c in FLAG_COLUMNS])
+
+
+def mapped_nondup_names(spark, sf_dir):
+    return _read(spark, sf_dir, ["query_name", "is_unmapped", "is_duplicate"]).where(~F.col("is_unmapped") & ~F.col("is_duplicate")).select("query_name").distinct()
+
+
+def semi_filter_names(spark, sf_dir):
+    names = _read(spark, sf_dir, ["query_name", "mapping_quality"]).where("mapping_quality >= 45").select("query_name").distinct()
+    return _read(spark, sf_dir, EIGHT).join(names, "query_name", "left_semi")
+
+
+def null_rules(spark, sf_dir):
+    nullable = ["query_name", "reference_id", "reference_start", "mapping_quality"]
+    rows = _read(spark, sf_dir, [*nullable, "cigarstring", "query_sequence"])
+    counts = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nullable]
+    return rows.agg(*counts, *[F.count_if(F.col(c) == "*").alias(f"star_{c}") for c in ("cigarstring", "query_sequence")])
+
+
+def pushed_filters(spark, sf_dir):
+    return _read(spark, sf_dir).where("is_reverse and not is_duplicate and mapping_quality between 10 and 20 and reference_id in (1, 3, 5)").select(*EIGHT)
+
+
+def zero_based_starts(spark, sf_dir):
+    rows = _read(spark, sf_dir, ["reference_id", "reference_start"]).where("reference_id is not null")
+    return rows.groupBy("reference_id").agg(F.min("reference_start").alias("first"), F.max("reference_start").alias("last"), F.count("*").alias("n"))
+
+
+def deidentify_names(spark, sf_dir):
+    out = fixtures.scratch(spark, "renamed")
+    rewrite.deidentify(spark, fixtures.bam_of(spark, sf_dir), out, "-", "REPLACED")
+    return api.read_bam(spark, out, columns=EIGHT)
+
+
+def filter_map_write(spark, sf_dir):
+    out = fixtures.scratch(spark, "filtered")
+    keep = lambda r: r.where("not is_duplicate and mapping_quality >= 20").withColumn("template_length", F.col("template_length") + 1)
+    rewrite.filter_map(spark, fixtures.bam_of(spark, sf_dir), out, keep)
+    return api.read_bam(spark, out, columns=EIGHT)
+
+
+def identity_roundtrip(spark, sf_dir):
+    out = fixtures.scratch(spark, "copy")
+    rewrite.filter_map(spark, fixtures.bam_of(spark, sf_dir), out)
+    return api.read_bam(spark, out, columns=EIGHT)
+
+
+def processed_records(spark, sf_dir):
+    n = rewrite.filter_map(spark, fixtures.bam_of(spark, sf_dir), fixtures.scratch(spark, "counted"), lambda r: r.where("is_paired"))
+    return spark.createDataFrame([(n,)], "n long")
+
+
+def _by_splits(most):
+    def run(spark, sf_dir):
+        return api.count_by_split(spark, fixtures.bam_of(spark, sf_dir), splits=most).agg(F.sum("records").alias("n"), F.sum("mapped").alias("n_mapped"))
+
+    return run
+
+
+def _offsets(spark, sf_dir):
+    # voffset-like numbers from orders: block and in-block parts
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 65536 + F.col("o_orderkey") % 60000).alias("voffset"))
+
+
+def reduce_index(spark, sf_dir):
+    return counting.reduce_offsets(_offsets(spark, sf_dir))
+
+
+def index_intervals(spark, sf_dir):
+    return counting.intervals(counting.reduce_offsets(_offsets(spark, sf_dir)))
+
+
+def split_record_counts(spark, sf_dir):
+    """Records of every split of 7 by the split planner: sums to the file and none is lost to the edges."""
+    path = fixtures.bam_of(spark, sf_dir)
+    plan = api.splits(spark, path, most=7)
+    counts = api.count_by_split(spark, path, splits=7)
+    joined = plan.join(counts, "split_id", "left")
+    return joined.agg(F.sum("records").alias("n"), F.count_if(F.col("records").isNull()).alias("n_missing"))
+
+
+def references(spark, sf_dir):
+    return api.references(spark, fixtures.bam_of(spark, sf_dir))
+
+
+def first_in_file_order(spark, sf_dir):
+    rows = _read(spark, sf_dir, [*EIGHT, "voffset"], voffset=True)
+    return rows.orderBy("voffset").limit(100).drop("voffset")
+
+
+def multi_file_union(spark, sf_dir):
+    path = fixtures.bam_of(spark, sf_dir)
+    return api.read_bam(spark, [path, path], columns=["reference_id", "is_unmapped"]).groupBy("reference_id").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        count_all,
+        count_mapped,
+        count_unmapped,
+        count_summary,
+        scan_fields,
+        flag_predicates,
+        flag_counts,
+        mapped_nondup_names,
+        semi_filter_names,
+        null_rules,
+        pushed_filters,
+        zero_based_starts,
+        deidentify_names,
+        filter_map_write,
+        identity_roundtrip,
+        processed_records,
+        reduce_index,
+        index_intervals,
+        split_record_counts,
+        references,
+        first_in_file_order,
+        multi_file_union,
+    )
+} | {f"count_by_splits_{n}": _by_splits(n) for n in (1, 2, 7, 64)}
+
+_A = f"WITH a AS ({fixtures.alignments_sql(fixtures.DUCKDB_DAYS)}) "
+_UNMAPPED = "(flag & 4) <> 0"
+_OFFSETS = "WITH o AS (SELECT o_custkey * 65536 + o_orderkey % 60000 AS voffset FROM orders), r AS (SELECT min(voffset) AS voffset FROM o GROUP BY voffset >> 16) "
+_E = ", ".join(EIGHT)
+
+ORACLES: dict[str, str] = {
+    "count_all": _A + "SELECT count(*) AS n FROM a",
+    "count_mapped": _A + f"SELECT count(*) AS n FROM a WHERE NOT {_UNMAPPED}",
+    "count_unmapped": _A + f"SELECT count(*) AS n FROM a WHERE {_UNMAPPED}",
+    "count_summary": _A + f"SELECT count(*) AS n_all, count(*) FILTER (NOT {_UNMAPPED}) AS n_mapped, count(*) FILTER ({_UNMAPPED}) AS n_unmapped FROM a",
+    "scan_fields": _A + f"SELECT {_E} FROM a",
+    "flag_predicates": _A + "SELECT query_name, " + ", ".join(f"(flag & {m}) <> 0 AS {c}" for c, m in FLAG_COLUMNS.items()) + " FROM a",
+    "flag_counts": _A + "SELECT " + ", ".join(f"count(*) FILTER ((flag & {m}) <> 0) AS {c}" for c, m in FLAG_COLUMNS.items()) + " FROM a",
+    "mapped_nondup_names": _A + "SELECT DISTINCT query_name FROM a WHERE (flag & 4) = 0 AND (flag & 1024) = 0",
+    "semi_filter_names": _A + f"SELECT {_E} FROM a WHERE query_name IN (SELECT query_name FROM a WHERE mapping_quality >= 45)",
+    "null_rules": _A
+    + "SELECT "
+    + ", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in ("query_name", "reference_id", "reference_start", "mapping_quality"))
+    + ", count(*) FILTER (cigarstring = '*') AS star_cigarstring, count(*) FILTER (query_sequence = '*') AS star_query_sequence FROM a",
+    "pushed_filters": _A + f"SELECT {_E} FROM a WHERE (flag & 16) <> 0 AND (flag & 1024) = 0 AND mapping_quality BETWEEN 10 AND 20 AND reference_id IN (1, 3, 5)",
+    "zero_based_starts": _A + "SELECT reference_id, min(reference_start) AS first, max(reference_start) AS last, count(*) AS n FROM a WHERE reference_id IS NOT NULL GROUP BY reference_id",
+    "deidentify_names": _A + "SELECT replace(query_name, '-', 'REPLACED') AS query_name, " + ", ".join(EIGHT[1:]) + " FROM a",
+    "filter_map_write": _A + "SELECT " + ", ".join(EIGHT[:-1]) + ", template_length + 1 AS template_length FROM a WHERE (flag & 1024) = 0 AND mapping_quality >= 20",
+    "identity_roundtrip": _A + f"SELECT {_E} FROM a",
+    "processed_records": "SELECT count(*) AS n FROM lineitem",
+    "reduce_index": _OFFSETS + "SELECT voffset FROM r",
+    "index_intervals": _OFFSETS + "SELECT * FROM (SELECT voffset AS start_voffset, lead(voffset) OVER (ORDER BY voffset) AS end_voffset FROM r) WHERE end_voffset IS NOT NULL",
+    "split_record_counts": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_missing FROM lineitem",
+    "references": f"SELECT n_nationkey AS reference_id, n_name AS name, CAST({fixtures.REFERENCE_LENGTH} AS INT) AS length FROM nation",
+    "first_in_file_order": _A + f"SELECT {_E} FROM a ORDER BY reference_id NULLS LAST, reference_start, query_name LIMIT 100",
+    "multi_file_union": _A + "SELECT reference_id, 2 * count(*) AS n FROM a GROUP BY reference_id",
+} | {f"count_by_splits_{n}": _A + f"SELECT count(*) AS n, count(*) FILTER (NOT {_UNMAPPED}) AS n_mapped FROM a" for n in (1, 2, 7, 64)}

@@ -2,7 +2,7 @@
 
 1. Every document gets its size in words; sources get targets (words) by weight, stopped at a
    multiple of their size, the excess reshared by weight (`source_targets`).
-2. A source's documents, shuffled by a hash, are laid end to end into one stream of words, which is
+2. A source's documents, shuffled by a hash of doc_id, are laid end to end into one stream of words, which is
    cut into blocks of `block_words`; the stream is read again from the start where the target is
    longer than it (`block_pieces`).
 3. Slot i of the schedule takes the golden-ratio point frac(i * phi), which the sources' cumulative
@@ -64,8 +64,8 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3,
 
 def _laid_out(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, source, size and each document's offset in its source's shuffled stream."""
-    shuffled = F.xxhash64("doc_id", "text_hash")
-    rows = docs.withColumn("order", shuffled).withColumn("bucket", F.shiftrightunsigned("order", 33) % buckets)
+    shuffled = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0" * 32))
+    rows = docs.withColumn("order", shuffled).withColumn("bucket", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % buckets)
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_start"))

@@ -26,7 +26,7 @@ def register(spark: SparkSession) -> None:
 
 def _reader(spark: SparkSession, path, index, splits_, **options):
     register(spark)
-    given = {"index": index, "splits": splits_} | options
+    given = {"index": index, "splits": splits_, "parallelism": spark.sparkContext.defaultParallelism} | options
     if splits_ is not None and int(splits_) < 1:
         raise ValueError("at least one split is needed")
     many = json.dumps(list(path)) if not isinstance(path, str) else path

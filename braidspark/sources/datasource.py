@@ -1,7 +1,7 @@
 """The Spark data source ``bam``: index-planned splits, Arrow batches, an ordered writer, and a stream of new files.
 
 Read options: ``path`` (one file or several, comma-separated), ``index`` (default ``<path>.bai`` where it exists),
-``splits`` (per file; default: one for each SPLIT_BYTES, at least one for each core), ``full`` (adds mate, bin, qualities, tags
+``splits`` (per file; default: one for each SPLIT_BYTES, and ``parallelism`` of them where that leaves SMALL_BYTES each), ``full`` (adds mate, bin, qualities, tags
 and raw names), ``voffset`` (adds voffset and split_id), ``mode`` = ``count`` (one row of counts for each split).
 A schema given by the user is the set of columns to decode: Spark does not prune columns of Python sources.
 
@@ -44,6 +44,7 @@ from braidspark.plans import splits
 from braidspark.sources import bai, bam, bgzf, files
 
 SPLIT_BYTES = 32 << 20
+SMALL_BYTES = 256 << 10
 COUNTS = pa.schema([("split_id", pa.int32()), ("records", pa.int64()), ("mapped", pa.int64())])
 
 
@@ -65,14 +66,15 @@ class Split(InputPartition):
         self.path, self.split_id, self.start, self.end = path, split_id, start, end
 
 
-def plan_file(path: str, index: str | None = None, most: int | None = None) -> list[tuple[int, int]]:
+def plan_file(path: str, index: str | None = None, most: int | None = None, parallelism: int = 1) -> list[tuple[int, int]]:
     """Splits of a file by its index, or one split if there is none."""
     with files.open_file(path) as f:
         _, first = bam.read_header(f)
     size = files.file_size(path)
     index = index or (f"{path}.bai" if files.exists(f"{path}.bai") else None)
     offsets = bai.read_linear_index(index) if index else []
-    return splits.plan(offsets, first, size, max(1, -(-size // SPLIT_BYTES)) if most is None else most)
+    wanted = max(-(-size // SPLIT_BYTES), min(parallelism, size // SMALL_BYTES), 1)
+    return splits.plan(offsets, first, size, wanted if most is None else most)
 
 
 _COMPARE = {
@@ -140,7 +142,7 @@ class BamReader(DataSourceReader):
         most = self.options.get("splits")
         found = []
         for path in paths_of(self.options):
-            found += [(path, a, b) for a, b in plan_file(path, self.options.get("index"), None if most is None else int(most))]
+            found += [(path, a, b) for a, b in plan_file(path, self.options.get("index"), None if most is None else int(most), int(self.options.get("parallelism", 1)))]
         return [Split(path, i, a, b) for i, (path, a, b) in enumerate(found)]
 
     def read(self, split: Split):

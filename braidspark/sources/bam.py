@@ -353,3 +353,95 @@ def encode_record(row: dict) -> bytes:
     )
     record = b"".join([fixed, body, b"\0", struct.pack(f"<{len(ops)}I", *ops), packed, qualities, tags])
     return struct.pack("<i", len(record)) + record
+
+
+_NIBBLE = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(BASES.decode()):
+    _NIBBLE[ord(_c)] = _NIBBLE[ord(_c.lower())] = _i
+
+
+def _bytes_of(column: pa.Array, empty: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """A string or binary column's bytes, end to end, and lengths; nulls count as `empty`."""
+    column = pc.fill_null(column.cast(pa.binary()), pa.scalar(empty, pa.binary()))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _bins(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """`region_bin` of many regions."""
+    last, out = end - 1, np.zeros(len(start), np.int64)
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        out = np.where(start >> shift == last >> shift, first + (start >> shift), out)
+    return out
+
+
+def encode_batch(batch: pa.RecordBatch) -> bytes:
+    """Records of a batch, as `encode_record` encodes each row."""
+    n, names = batch.num_rows, set(batch.schema.names)
+    if not n:
+        return b""
+
+    def number(name: str, absent: int) -> np.ndarray:
+        if name not in names:
+            return np.full(n, absent, np.int64)
+        return pc.fill_null(batch.column(name).cast(pa.int64()), absent).to_numpy(zero_copy_only=False)
+
+    def text(name: str) -> pa.Array:
+        return batch.column(name) if name in names else pa.nulls(n, pa.binary())
+
+    raw = text("raw_name").cast(pa.binary())
+    raw = pc.if_else(pc.equal(pc.binary_length(raw), 0), pa.scalar(None, pa.binary()), raw)
+    name, l_name = _bytes_of(pc.coalesce(text("query_name").cast(pa.binary()), raw), b"*")
+    if (l_name < 1).any() or (l_name > 254).any() or (name == 0).any():
+        raise ValueError("a read name has 1 to 254 bytes without NUL")
+
+    cigars = pc.fill_null(text("cigarstring").cast(pa.string()), "*").dictionary_encode()
+    parsed = [parse_cigar(c or "*") for c in cigars.dictionary.to_pylist()]
+    if any(len(ops) > 65535 for ops in parsed):
+        return b"".join(encode_record(r) for r in batch.to_pylist())
+    which = cigars.indices.to_numpy()
+    ops_each = np.array([len(p) for p in parsed], np.int64)
+    words = np.array([op for p in parsed for op in p], "<u4")
+    n_ops = ops_each[which]
+    ops = words[_flat((np.cumsum(ops_each) - ops_each)[which], n_ops)]
+    spans = np.array([reference_length(p) for p in parsed], np.int64)[which]
+
+    seq, l_seq = _bytes_of(text("query_sequence"), b"*")
+    star = (l_seq == 1) & (seq[np.minimum(np.cumsum(l_seq) - l_seq, len(seq) - 1)] == ord("*"))
+    seq, l_seq = seq[np.repeat(~star, l_seq)], np.where(star, 0, l_seq)
+    if (_NIBBLE[seq] == 255).any():
+        raise ValueError(f"no base {chr(int(seq[_NIBBLE[seq] == 255][0]))!r}")
+    n_packed = (l_seq + 1) // 2
+    ends = np.cumsum(2 * n_packed)
+    nibbles = np.zeros(int(ends[-1]), np.uint8)
+    nibbles[_flat(ends - 2 * n_packed, l_seq)] = _NIBBLE[seq]
+    packed = nibbles[::2] << 4 | nibbles[1::2]
+
+    quality, l_quality = _bytes_of(text("qualities"))
+    missing = (l_quality == 0) & (l_seq > 0)
+    if (l_quality[~missing] != l_seq[~missing]).any():
+        raise ValueError("qualities and sequence differ in length")
+    qualities = np.full(int(l_seq.sum()), 255, np.uint8)
+    qualities[_flat((np.cumsum(l_seq) - l_seq)[~missing], l_seq[~missing])] = quality
+    tags, l_tags = _bytes_of(text("tags"))
+
+    fixed = np.zeros(n, FIXED)
+    pos = number("reference_start", -1)
+    computed = np.where(pos >= 0, _bins(pos, pos + np.maximum(spans, 1)), 4680)
+    bins = number("bin", -1)
+    sizes = 32 + l_name + 1 + 4 * n_ops + n_packed + l_seq + l_tags
+    values = {"size": sizes, "ref": number("reference_id", -1), "pos": pos, "l_name": l_name + 1, "mapq": number("mapping_quality", 255), "bin": np.where(bins < 0, computed, bins), "n_cigar": n_ops, "flag": number("flag", 0), "l_seq": l_seq, "next_ref": number("next_reference_id", -1), "next_pos": number("next_reference_start", -1), "tlen": number("template_length", 0)}
+    for field_name, v in values.items():
+        limits = np.iinfo(FIXED[field_name])
+        if len(v) and (v.min() < limits.min or v.max() > limits.max):
+            raise ValueError(f"{field_name} is out of range")
+        fixed[field_name] = v
+    out = np.zeros(int((sizes + 4).sum()), np.uint8)
+    at = np.cumsum(sizes + 4) - sizes - 4
+    for data, lengths in ((fixed.view(np.uint8), np.full(n, 36)), (name, l_name), (None, np.ones(n, np.int64)), (ops.view(np.uint8), 4 * n_ops), (packed, n_packed), (qualities, l_seq), (tags, l_tags)):
+        if data is not None:
+            out[_flat(at, lengths)] = data
+        at = at + lengths
+    return out.tobytes()

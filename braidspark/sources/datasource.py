@@ -193,16 +193,18 @@ class BamWriter(DataSourceArrowWriter):
         self.payload = int(options.get("block_payload", bgzf.PAYLOAD))
 
     def write(self, iterator):
+        import pyarrow.compute  # noqa: F401
+
         partition, path, n = TaskContext.get().partitionId(), f"{self.parts}/{uuid.uuid4().hex}", 0
         limit = len(self.header.references)
         with files.create_file(path) as f:
             out = bgzf.BlockWriter(f, self.payload)
             for batch in iterator:
-                for row in batch.to_pylist():
-                    for name in ("reference_id", "next_reference_id"):
-                        if (row.get(name) or 0) >= limit and row.get(name) is not None:
-                            raise ValueError(f"{name} {row[name]} is not in the header")
-                    out.write(bam.encode_record(row))
+                for name in {"reference_id", "next_reference_id"} & set(batch.schema.names):
+                    most = pa.compute.max(batch.column(name)).as_py()
+                    if most is not None and most >= limit:
+                        raise ValueError(f"{name} {most} is not in the header")
+                out.write(bam.encode_batch(batch))
                 n += batch.num_rows
             out.finish(eof=False)
         return Part(partition, path, n)

@@ -4,10 +4,11 @@ import io
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from braidspark.plans import splits
-from braidspark.sources import bai, bam, bgzf
+from braidspark.sources import bai, bam, bgzf, datasource
 
 MAPPED = bytes.fromhex("2d000000 00000000 63000000 03 3c 4912 0100 6300 04000000 00000000 c7000000 68000000 723100 40000000 1248 1e1e1e1e".replace(" ", ""))
 EMPTY = bytes.fromhex("22000000 ffffffff ffffffff 02 ff 4812 0000 0400 00000000 ffffffff ffffffff 00000000 2a00".replace(" ", ""))
@@ -44,6 +45,10 @@ def test_names_cigars_and_bases():
         {"flag": 0, "query_name": "c", "cigarstring": "1M1I" * 33000, "query_sequence": "A" * 66000},
     ]
     data = b"".join(map(bam.encode_record, rows))
+    schema = pa.schema([f for f in datasource.arrow_schema(True) if f.name in {k for r in rows for k in r}])
+    assert bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema=schema)) == data
+    short = [{k: v for k, v in r.items()} for r in rows[:4]]
+    assert bam.encode_batch(pa.RecordBatch.from_pylist(short, schema=schema)) == b"".join(map(bam.encode_record, short))
     got = decoded(data, ["query_name", "cigarstring", "query_sequence", "tags", "raw_name"])
     assert [g[0] for g in got] == [None, "é" * 100, "a", "b", "c"] and got[0][4] == b"\xff\xfe"
     assert [g[1] for g in got] == ["*", "*", "1M2I3D4N5S6H7P8=9X", "*", "1M1I" * 33000]
@@ -52,8 +57,23 @@ def test_names_cigars_and_bases():
 
 @pytest.mark.parametrize("bad", [{"query_name": "x" * 255}, {"query_name": ""}, {"query_sequence": "A?"}, {"cigarstring": "3"}, {"cigarstring": "3Q"}, {"query_sequence": "AC", "qualities": b"1"}])
 def test_encoder_rejects(bad):
+    row = {"flag": 0, "query_name": "r"} | bad
     with pytest.raises(ValueError):
-        bam.encode_record({"flag": 0, "query_name": "r"} | bad)
+        bam.encode_record(row)
+    with pytest.raises(ValueError):
+        bam.encode_batch(pa.RecordBatch.from_pylist([row], schema=pa.schema([f for f in datasource.arrow_schema(True) if f.name in row])))
+
+
+def test_batches_encode_like_rows():
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        l = int(rng.integers(0, 20))
+        start = None if i % 7 == 0 else int(rng.integers(0, 2**29 - 100))
+        rows.append({"query_name": None if i % 11 == 0 else "n" * int(rng.integers(1, 255)), "raw_name": b"\xff" if i % 22 == 0 else None, "flag": int(rng.integers(0, 65536)), "reference_id": None if start is None else 1, "reference_start": start, "mapping_quality": None if i % 5 == 0 else int(rng.integers(0, 255)), "cigarstring": "*" if i % 3 == 0 else f"{i + 1}M{i % 9 + 1}D2I", "query_sequence": "".join(rng.choice(list("ACGTNacgt"), l)) or "*", "template_length": int(rng.integers(-5, 5)), "qualities": bytes(l) if i % 2 else None, "tags": b"XXZab\0" if i % 4 else None, "bin": None if i % 2 else 77})
+    schema = pa.schema([f for f in datasource.arrow_schema(True) if f.name in rows[0]])
+    assert bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema=schema)) == b"".join(map(bam.encode_record, rows))
+    assert bam.encode_batch(pa.RecordBatch.from_pylist([], schema=schema)) == b""
 
 
 @pytest.mark.parametrize("cut, error", [(3, None), (20, EOFError)])

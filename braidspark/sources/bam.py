@@ -121,13 +121,16 @@ def scan(file, start: int, end: int | None, batch_bytes: int = BATCH_BYTES) -> I
             if end is not None and found[0] > bgzf.coffset_of(end):
                 break
         at, n, pos = [], len(data), skip
-        while pos + 4 <= n:
-            after = pos + 4 + unpack(data, pos)[0]
+        frozen = bytes(data)  # quicker to unpack from, and the chunk's buffer
+        note, last = at.append, n - 4
+        while pos <= last:
+            size = unpack(frozen, pos)[0]
+            after = pos + 4 + size
             if after > n:
                 break
-            if after < pos + 36:
+            if size < 32:
                 raise ValueError("a record is shorter than its fixed fields")
-            at.append(pos)
+            note(pos)
             pos = after
         places = np.array([*at, pos], np.int64)
         s, c = np.array(starts, np.int64), np.array(coffsets, np.int64)
@@ -140,7 +143,7 @@ def scan(file, start: int, end: int | None, batch_bytes: int = BATCH_BYTES) -> I
         else:
             v = v[:-1]
         if len(at):
-            yield Chunk(bytes(data), np.array(at, np.int64), v)
+            yield Chunk(frozen, np.array(at, np.int64), v)
         if reached_end:
             return
         if done:

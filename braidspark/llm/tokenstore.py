@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,38 @@ TOKENS = "part int, doc_id long, local_start long, n_tokens long, ids array<int>
 DIGEST = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
+class _Chunks(dict):
+    """Blank-separated chunk of lower-cased text -> its ids' bytes."""
+
+    def __init__(self, pieces: dict, limit: int):
+        super().__init__()
+        self.pieces, self.limit = pieces, limit
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        self[chunk] = ids = b"".join(map(self.pieces.__getitem__, CachedEncoder.PIECE.findall(chunk)))
+        return ids
+
+
+class _Pieces(dict):
+    """Piece of the pre-tokenizer -> its ids' bytes, by the library's BPE model."""
+
+    def __init__(self, model, limit: int):
+        super().__init__()
+        self.model, self.limit = model, limit
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        self.byte_names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        named = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.byte_names)
+        self[piece] = ids = np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+        return ids
+
+
 class CachedEncoder:
     """The library's encoding of whole texts, remembering the ids of blank-separated chunks.
 
@@ -47,23 +80,12 @@ class CachedEncoder:
     #: Contractions, letters, one digit (with the number signs below U+0300 that are no decimal digits), the rest.
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, chunks: int = 400_000, pieces: int = 600_000):
+        """chunks, pieces: how many of each are remembered, some 200 bytes a piece."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        self.byte_names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = []
-        for piece in self.PIECE.findall(chunk):
-            named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
-            ids += [t.id for t in self.model.tokenize(named)]
-        return np.array(ids, "<u4").tobytes()
+        self.chunks = _Chunks(_Pieces(self.tokenizer.model, pieces), chunks)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text as little-endian uint32."""
@@ -71,24 +93,18 @@ class CachedEncoder:
             return np.empty(0, "<u4")
         if self.OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        chunks = text.lower().split()
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
-        except KeyError:
-            pass
-        for chunk in chunks:
-            if chunk not in known:
-                known[chunk] = self._chunk(chunk)
-        out = np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
-        if len(known) > self.limit:
-            known.clear()
-        return out
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.lower().split())), "<u4")
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> CachedEncoder:
+    """A worker's encoder: what it remembers lasts from task to task."""
+    return CachedEncoder(path)
 
 
 def _encode(tokenizer_path: str, end_id: int):
     def run(batches):
-        encoder, part, at = CachedEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text")
             out, ends = [], [0]

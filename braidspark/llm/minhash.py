@@ -12,12 +12,13 @@ The near-duplicate operator:
 
 1. Texts with equal words collapse to the smallest doc_id (an aggregation, combined map-side).
 2. The others' signatures are cut in BANDS bands of ROWS; texts that agree in a band are in one bucket.
-3. In every bucket all members are compared with the smallest; pairs are made distinct over all bands and
-   verified exactly on their shingles (Jaccard similarity of the sets, or of weights, >= 0.8).
+3. In every bucket all members are compared with its pivot, the one that meets most others over all its buckets (in
+   buckets of up to SMALL, each with each); pairs are made distinct over all bands and verified exactly on their shingles (Jaccard similarity of the sets, or of
+   weights, >= 0.8).
 4. Verified pairs are edges of connected components.
-5. A bucket whose members are not in one component yet goes on without its smallest member, until
-   none is left: no pair of a bucket stays uncompared unless a chain of links joins it already.
-   Buckets never give all their pairs; thousands of near copies of one text are done in the first round.
+5. What is left of a bucket, without its pivot, and is not in one component yet is compared too, but for the
+   pairs that counts of the texts' own shingles rule out and those that a chain of links joins already (`_left_pairs`): no pair
+   of a bucket that could be similar enough stays uncompared. Thousands of near copies of one text are done in step 3.
 
 Edge cases: null texts and texts without words have no duplicates; a text of one to four words is one
 shingle; rows with equal doc_id are one document, for which one of their texts stands; rows with null doc_id are
@@ -33,66 +34,84 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, small_batches
+from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, slices, small_batches
 from braidspark.llm.components import connected_components
 
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
 _COORD, _RANK, _HEIGHT, _CELL, _DART = (mix64(np.array([i], np.uint64))[0] | np.uint64(1) for i in range(11, 16))
+#: Buckets of so many members have all their pairs compared at once.
+SMALL = 8
+SLICE_CHARS = 1 << 19
 SIGNED = "doc_id long, text_hash long, key string, bands array<long>"
 
 
-_FULL = (1 << 64) - 1
-
+def _unit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
-def _times(n: int, factor: np.uint64) -> np.uint64:
-    return np.uint64(n * int(factor) & _FULL)
 
+def dart_minhash_many(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = K) -> np.ndarray:
+    """Signatures (sets x k, uint64) of sets of distinct elements (uint64, ascending), all thrown at once.
 
-def _unit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    weights: of each set's elements (default: 1 each). An empty set is an error.
+    """
+    counts = np.array([len(x) for x in sets])
+    if not counts.all():
+        raise ValueError("an empty set has no signature")
+    elements = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+    weight = np.ones(len(elements)) if weights is None else np.concatenate(weights)
+    owner = np.repeat(np.arange(len(sets)), counts)
+    total = np.bincount(owner, weight, len(sets))
+    # the unit cells of weight above each element
+    tall = np.ceil(weight).astype(np.int64)
+    of = np.repeat(np.arange(len(elements)), tall)
+    height = np.arange(len(of)) - np.repeat(np.cumsum(tall) - tall, tall)
+    column, owner = mix64(elements[of] + height.astype(np.uint64) * _CELL), owner[of]
+    room = weight[of] - height  # below 1: the part of the cell that is in the region
+    sig = np.zeros((len(sets), k), np.uint64)
+    done, limit = np.zeros(len(sets)), (k * np.log(k) + 2 * k) / np.maximum(total, 1e-12)
+    best = np.full((len(sets), k), np.inf)
+    pending = np.arange(len(owner))
+    while len(pending):
+        first, last = np.floor(done[owner[pending]]).astype(np.int64), np.ceil(limit[owner[pending]]).astype(np.int64)
+        cells = last - first
+        at = np.repeat(pending, cells)
+        cell = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells) + np.repeat(first, cells)
+        seeds = mix64(column[at] + (cell + 1).astype(np.uint64) * _DART)
+        n = np.searchsorted(_POISSON, _unit(seeds))
+        which = np.repeat(np.arange(len(at)), n)
+        number = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        dart = mix64(seeds[which] + (number + 1).astype(np.uint64) * _CELL)
+        at, rank = at[which], cell[which] + _unit(mix64(dart ^ _RANK))
+        hit = (rank < limit[owner[at]]) & (rank >= done[owner[at]])
+        if weights is not None:
+            hit &= _unit(mix64(dart ^ _HEIGHT)) < room[at]
+        dart, rank, at = dart[hit], rank[hit], at[hit]
+        slot = owner[at] * k + ((mix64(dart ^ _COORD) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((rank, slot))
+        slot, rank, dart = slot[order], rank[order], dart[order]
+        lead = np.flatnonzero(np.diff(slot, prepend=-1))
+        free = np.isinf(best.ravel()[slot[lead]])  # lower ranks came before
+        lead = lead[free]
+        best.ravel()[slot[lead]], sig.ravel()[slot[lead]] = rank[lead], dart[lead]
+        short = np.isinf(best).any(axis=1)
+        done, limit = np.where(short, limit, done), np.where(short, 2 * limit, limit)
+        pending = pending[short[owner[pending]]]
+    return sig
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
-    """Signature of k 64-bit values of distinct elements (uint64) with weights (default: 1 each)."""
-    if not len(elements):
-        raise ValueError("an empty set has no signature")
-    top = np.ones(len(elements), np.int64) if weights is None else np.ceil(weights).astype(np.int64)
-    total = len(elements) if weights is None else float(weights.sum())
-    owner = np.repeat(np.arange(len(elements)), top)
-    height = np.arange(len(owner)) - np.repeat(np.cumsum(top) - top, top)
-    column = mix64(elements[owner] + height.astype(np.uint64) * _CELL)
-    done, limit = 0.0, (k * np.log(k) + 2 * k) / total
-    best, sig = np.full(k, np.inf), np.zeros(k, np.uint64)
-    while True:
-        for cell in range(int(done), int(np.ceil(limit))):
-            seeds = mix64(column + _times(cell + 1, _DART))
-            n = np.searchsorted(_POISSON, _unit(seeds))
-            for d in range(int(n.max())):
-                at = np.flatnonzero(n > d)
-                dart = mix64(seeds[at] + _times(d + 1, _CELL))
-                rank = cell + _unit(mix64(dart ^ _RANK))
-                hit = (rank < limit) & (rank >= done)
-                if weights is not None:
-                    hit &= height[at] + _unit(mix64(dart ^ _HEIGHT)) < weights[owner[at]]
-                dart, rank = dart[hit], rank[hit]
-                coord = ((mix64(dart ^ _COORD) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((dart, rank))[::-1]  # the lowest rank is written last
-                dart, rank, coord = dart[order], rank[order], coord[order]
-                low, own = np.full(k, np.inf), np.zeros(k, np.uint64)
-                low[coord], own[coord] = rank, dart
-                better = (low < best) | ((low == best) & (own < sig) & (low < np.inf))
-                best[better], sig[better] = low[better], own[better]
-        if np.isfinite(best).all():
-            return sig
-        done, limit = limit, 2 * limit
+    """Signature of one set."""
+    return dart_minhash_many([elements], None if weights is None else [weights], k)[0]
 
 
 def _bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    acc = np.arange(1, len(sig) // rows + 1, dtype=np.uint64) * _CELL
+    """Band hashes (sets x bands) of signatures."""
+    bands = sig.shape[1] // rows
+    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _CELL, (len(sig), bands))
     for r in range(rows):
-        acc = mix64(acc ^ sig[r::rows][: len(acc)]) + _DART
+        acc = mix64(acc ^ sig[:, r::rows][:, :bands]) + _DART
     return acc.view(np.int64)
 
 
@@ -108,26 +127,30 @@ def _sign(k: int, weight: str):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, rows, keys, bands = [], [], [], []
-            texts = batch.column("text")
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                words = hashes.of(texts[i].as_py())
-                if len(words):
-                    ids.append(doc)
-                    rows.append(i)
-                    keys.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
-                    bands.append(_bands(dart_minhash(*weighted(words, k, weight))))
-            offsets = np.arange(0, BANDS * (len(ids) + 1), BANDS, dtype=np.int32)
-            flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            columns = [pa.array(ids, pa.int64()), batch.column("text_hash").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            texts = batch.column("text").to_pylist()
+            rows, keys, bands = [], [], [np.empty((0, BANDS), np.int64)]
+            for a, b in slices(texts, SLICE_CHARS):
+                sets, weights = [], []
+                for i in range(a, b):
+                    words = hashes.of(texts[i])
+                    if len(words):
+                        rows.append(i)
+                        keys.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
+                        own, counts = weighted(words, k, weight)
+                        sets.append(own)
+                        weights.append(counts)
+                if sets:
+                    bands.append(_bands(dart_minhash_many(sets, None if weight == "unit" else weights)))
+            at, flat = pa.array(rows, pa.int64()), np.concatenate(bands).ravel()
+            offsets = np.arange(0, BANDS * (len(rows) + 1), BANDS, dtype=np.int32)
+            columns = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "bands"])
 
     return run
 
 
-def similarity(a: str, b: str, words: WordHashes, k: int = SHINGLE_WORDS, weight: str = "unit") -> float:
-    """Jaccard similarity of the texts' shingle sets, or of their counts."""
-    (x, v), (y, w) = weighted(words.of(a), k, weight), weighted(words.of(b), k, weight)
+def _alike(left: tuple, right: tuple) -> float:
+    (x, v), (y, w) = left, right
     if not len(x) or not len(y):
         return 0.0
     both, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -137,12 +160,37 @@ def similarity(a: str, b: str, words: WordHashes, k: int = SHINGLE_WORDS, weight
     return shared / (v.sum() + w.sum() - shared)
 
 
+def similarity(a: str, b: str, words: WordHashes, k: int = SHINGLE_WORDS, weight: str = "unit") -> float:
+    """Jaccard similarity of the texts' shingle sets, or of their counts."""
+    return _alike(weighted(words.of(a), k, weight), weighted(words.of(b), k, weight))
+
+
+class _Sets(dict):
+    """Document -> its weighted shingles; pairs come ordered by one side, so that few texts are read twice."""
+
+    LIMIT = 4_000_000
+
+    def __init__(self, k: int, weight: str):
+        super().__init__()
+        self.k, self.weight, self.words, self.held = k, weight, WordHashes(), 0
+
+    def of(self, doc: int, text) -> tuple:
+        if doc not in self:
+            self[doc] = own = weighted(self.words.of(text.as_py()), self.k, self.weight)
+            self.held += len(own[0])
+            if self.held > self.LIMIT:
+                self.clear()
+                self[doc], self.held = own, len(own[0])
+        return self[doc]
+
+
 def _verify(k: int, weight: str, threshold: float):
     def run(batches):
-        hashes = WordHashes()
+        sets = _Sets(k, weight)
         for batch in batches:
             left, right = batch.column("src_text"), batch.column("dst_text")
-            good = [i for i in range(batch.num_rows) if similarity(left[i].as_py(), right[i].as_py(), hashes, k, weight) >= threshold - 1e-9]
+            pairs = zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())
+            good = [i for i, (a, b) in enumerate(pairs) if _alike(sets.of(b, right[i]), sets.of(a, left[i])) >= threshold - 1e-9]
             yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(good, pa.int64())), batch.column("dst").take(pa.array(good, pa.int64()))], ["src", "dst"])
 
     return run
@@ -155,18 +203,57 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, weight: str, threshold: f
     return pairs.join(first, "src").join(second, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(_verify(k, weight, threshold), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY, weight: str = "unit", all_pairs_after: int = 6) -> DataFrame:
+def _shingles_of(k: int):
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            for doc, text in zip(batch.column("rep").to_pylist(), batch.column("text")):
+                own = np.unique(shingles(words.of(text.as_py()), k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc, np.int64)), pa.array(own)], ["rep", "shingle"])
+
+    return run
+
+
+def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
+    """Pairs (src, dst) of a bucket's members of different components that may be similar enough.
+
+    left: bucket, rep, component. A shingle that no other of these texts has is in no intersection: with n shingles, s of
+    them in another text too, two texts are at most as similar as m / (n1 + n2 - m), m the smaller s. Copies that are too far
+    from all others, mostly by edits of their own, so drop out by arithmetic, and a bucket's largest
+    component meets only the texts that are left outside it.
+    """
+    docs = left.select(F.col("rep").alias("r")).distinct()
+    grams = materialize(texts.join(docs, F.col("rep") == F.col("r"), "left_semi").select("rep", "text").mapInArrow(_shingles_of(k), "rep long, shingle long"), "shingles")
+    common = grams.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select(F.col("shingle").alias("g"))
+    marked = grams.join(common, F.col("shingle") == F.col("g"), "left")
+    sizes = marked.groupBy("rep").agg(F.count("*").alias("n"), F.count("g").alias("s")).select(F.col("rep").alias("z"), "n", "s")
+    sized = left.join(sizes, F.col("rep") == F.col("z")).drop("z")
+    if weight == "unit":
+        # no other text can be similar enough to one with so many shingles of its own
+        sized = sized.where(F.col("s") >= threshold * F.col("n") - 1e-9)
+    else:
+        sized = sized.withColumn("s", F.col("n"))
+    sized = materialize(sized, "left")
+    main = sized.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"))
+    main = main.select(F.col("bucket").alias("mb"), F.col("m.component").alias("main"))
+    outside = sized.join(main, F.col("bucket") == F.col("mb")).where(F.col("component") != F.col("main")).select("bucket", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("on"), F.col("s").alias("os"))
+    least = F.least("s", "os")
+    bound = (least >= threshold * (F.col("n") + F.col("on") - least) - 1e-9) if weight == "unit" else F.lit(True)
+    joined = sized.withColumnRenamed("bucket", "jb").join(outside, (F.col("jb") == F.col("bucket")) & (F.col("component") != F.col("oc")) & bound)
+    return joined.select(F.greatest("rep", "o").alias("src"), F.least("rep", "o").alias("dst")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY, weight: str = "unit", pivot_rounds: int = 1) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), one row for each doc_id of (doc_id, text).
 
-    all_pairs_after: rounds after which the buckets that are still open are compared in full.
+    pivot_rounds: how often a bucket's open members meet a pivot before what is left is compared by `_left_pairs`.
     """
     if weight not in ("unit", "count"):
         raise ValueError(f"weight is unit or count, not {weight!r}")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).where(F.col("doc_id").isNotNull())
-    signed = rows.mapInArrow(_sign(k, weight), SIGNED)
-    signed = materialize(signed, "signatures")
+    signed = materialize(rows.mapInArrow(_sign(k, weight), SIGNED), "signatures")
     # equal words, one representative; of rows with one doc_id, the one with the smallest key stands for it
     key_of = signed.groupBy("doc_id").agg(F.min(F.struct("key", "text_hash")).alias("m")).select("doc_id", "m.key", "m.text_hash")
     reps = key_of.groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -175,40 +262,43 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float =
     is_chosen = (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("h"))
     own = signed.join(chosen, is_chosen).select("rep", "bands").dropDuplicates(["rep"])
     buckets = own.select("rep", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"))
-    open_ = materialize(buckets.join(sizes, F.col("bucket") == F.col("b"), "left_semi"), "buckets")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "n")
+    shared = materialize(buckets.join(sizes, F.col("bucket") == F.col("b")).drop("b"), "buckets")
+    # how many others a text meets: a group's centre meets the most, copies of it meet each other less often
+    met = shared.groupBy(F.col("rep").alias("r")).agg(F.sum("n").alias("met"))
+    open_ = materialize(shared.join(met, F.col("rep") == F.col("r")).select("bucket", "rep", "met", (F.col("n") <= SMALL).alias("small")), "buckets")
     wanted = chosen.join(open_.select(F.col("rep").alias("r")), F.col("rep") == F.col("r"), "left_semi")
     texts = materialize(rows.join(wanted, is_chosen).select("rep", "text").dropDuplicates(["rep"]), "candidate-texts")
-    edges, components, tried, rounds = None, None, None, 0
-    while True:
-        rounds += 1
-        if rounds > all_pairs_after:
-            other = open_.select(F.col("bucket").alias("b"), F.col("rep").alias("dst"), F.col("component").alias("c"))
-            pairs = open_.join(other, (F.col("bucket") == F.col("b")) & (F.col("rep") > F.col("dst")) & (F.col("component") != F.col("c")))
-            pairs = pairs.select(F.col("rep").alias("src"), "dst").distinct()
-        else:
-            pivots = open_.groupBy("bucket").agg(F.min("rep").alias("dst"))
-            pairs = open_.join(pivots, "bucket").where(F.col("rep") != F.col("dst"))
-            if components is not None:
-                pivot_component = components.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-                pairs = pairs.join(pivot_component, F.col("dst") == F.col("p"), "left").where(F.coalesce("pc", "dst") != F.col("component"))
-            pairs = pairs.select(F.col("rep").alias("src"), "dst").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_links(pairs, texts, k, weight, threshold), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        components = materialize(connected_components(edges), "classes")
-        if rounds > all_pairs_after:
-            break
+
+    def components_of(links: DataFrame) -> DataFrame:
+        return materialize(connected_components(links), "classes")
+
+    edges = components = None
+    for turn in range(pivot_rounds):
+        first = F.max(F.struct("met", (-F.col("rep")).alias("least"), "rep"))
+        pivots = materialize(open_.groupBy("bucket").agg(first.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("pivot")), "pivots")
+        with_pivot = open_.join(pivots, F.col("bucket") == F.col("b")).where(F.col("rep") != F.col("pivot"))
+        pairs = with_pivot.select(F.greatest("rep", "pivot").alias("src"), F.least("rep", "pivot").alias("dst"))
+        if turn == 0:
+            other = open_.where("small").select(F.col("bucket").alias("b"), F.col("rep").alias("dst"))
+            each = open_.where("small").join(other, (F.col("bucket") == F.col("b")) & (F.col("rep") > F.col("dst")))
+            pairs = pairs.unionByName(each.select(F.col("rep").alias("src"), "dst"))
+        found = materialize(_links(materialize(pairs.distinct(), "pairs"), texts, k, weight, threshold), "links")
+        if edges is None or not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            components = components_of(edges)
         # what is left of each bucket: all but the pivot, if that is in more than one component
-        left = open_.drop("component").join(pivots, "bucket").where(F.col("rep") != F.col("dst")).drop("dst")
-        left = left.join(components, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        left = (with_pivot.where("not small") if turn == 0 else with_pivot).select("bucket", "rep", "met")
+        left = left.join(components, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "met", F.coalesce("component", "rep").alias("component"))
         mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("b"))
-        open_ = materialize(left.join(mixed, F.col("bucket") == F.col("b"), "left_semi"), "buckets")
+        open_ = materialize(left.join(mixed, F.col("bucket") == F.col("b"), "left_semi"), "open")
         if open_.isEmpty():
             break
+    else:
+        pairs = materialize(_left_pairs(open_.select("bucket", "rep", "component"), texts, k, weight, threshold), "left-pairs")
+        found = materialize(_links(pairs, texts, k, weight, threshold), "links")
+        if not found.isEmpty():
+            components = components_of(edges.unionByName(found))
     classes = membership.join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     wordless = rows.select("doc_id").distinct().join(membership.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_anti")
     return classes.unionByName(wordless.withColumn("class_id", F.col("doc_id")))

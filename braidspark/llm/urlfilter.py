@@ -2,9 +2,9 @@
 
 Pages are aliases of each other if a redirect (``<meta http-equiv=refresh>``) or a canonical link
 (``<link rel=canonical>``) joins them. Connected components over those edges are found without gathering
-any of them; a component that holds a page which a rule blocks passes the block on to its pages
-without a rule of their own. A page that a rule allows stays allowed, whatever its aliases, and an
-allowed page does not pass its allowance on.
+any of them; a component that holds a URL which a rule blocks, be it of a page or only an end of a link or
+redirect, passes the block on to its pages without a rule of their own. A page that a rule allows stays
+allowed, whatever its aliases, and an allowed page does not pass its allowance on.
 
 A URL names a node by host, path and query: scheme, fragment, a trailing slash of the path and ``utm_`` query
 parameters do not tell pages apart. Relative links are read against the page's host and folder.
@@ -88,7 +88,7 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: nodes that a canonical link or a redirect of a page joins."""
+    """src, dst, src_url, dst_url: nodes that a canonical link or a redirect of a page joins, and the URLs that name them."""
     linked = pages.where(F.col("html").rlike("(?i)canonical|http-equiv"))
     tags = linked.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     canonical = F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)") & F.lower("tag").startswith("<link")
@@ -96,8 +96,13 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     target = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['\"]?([^'\"]*)", 1)
     link = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, target)
     found = tags.select("url", link.alias("link")).where(F.col("link") != "")
-    edges = found.select(node_of(F.col("url")).alias("src"), node_of(_absolute(F.col("link"), F.col("url"))).alias("dst"))
-    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).distinct()
+    return _edges(found.select(F.col("url").alias("src_url"), _absolute(F.col("link"), F.col("url")).alias("dst_url")))
+
+
+def _edges(urls: DataFrame) -> DataFrame:
+    """src, dst, src_url, dst_url of pairs of URLs (src_url, dst_url); two URLs of one node are an edge too."""
+    edges = urls.select(node_of(F.col("src_url")).alias("src"), node_of(F.col("dst_url")).alias("dst"), "src_url", "dst_url")
+    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src_url") != F.col("dst_url"))).distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -107,13 +112,21 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     """
     edges = alias_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("src"), node_of(F.col("to_url")).alias("dst")))
+        edges = edges.unionByName(_edges(redirects.select(F.col("from_url").alias("src_url"), F.col("to_url").alias("dst_url"))))
     edges = materialize(edges, "alias-edges")
-    members = connected_components(edges).select(F.col("node").alias("m_node"), F.col("component").alias("m_component"))
+    # both ends of every edge are judged, also those that are no page
+    ends = edges.select(F.col("src").alias("node"), F.col("src_url").alias("url")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst_url").alias("url")))
+    seeds = with_rule(ends, rules).where(F.col("rule_verdict") == "block").select(F.col("node").alias("s_node")).distinct()
+    joins = connected_components(edges.select("src", "dst"))
+    alone = ends.select(F.col("node").alias("a_node")).distinct().join(joins, F.col("a_node") == F.col("node"), "left_anti")
+    members = joins.unionByName(alone.select(F.col("a_node").alias("node"), F.col("a_node").alias("component")))
+    members = materialize(members.select(F.col("node").alias("m_node"), F.col("component").alias("m_component")), "alias-members")
     judged = with_rule(pages.select("page_id", "url"), rules).withColumn("node", node_of(F.col("url")))
     # only pages that an edge touches join; a node's pages are split by Spark if they are many
     joined = judged.join(members, F.col("node") == F.col("m_node"), "left")
-    blocked = joined.where((F.col("rule_verdict") == "block") & F.col("m_component").isNotNull()).select(F.col("m_component").alias("b_component")).distinct()
+    by_page = joined.where((F.col("rule_verdict") == "block") & F.col("m_component").isNotNull()).select(F.col("m_component").alias("b_component"))
+    by_end = members.join(seeds, F.col("m_node") == F.col("s_node"), "left_semi").select(F.col("m_component").alias("b_component"))
+    blocked = by_page.unionByName(by_end).distinct()
     final = joined.join(blocked, F.col("m_component") == F.col("b_component"), "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("b_component").isNotNull(), "block"), F.lit("allow"))
     return final.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("m_component", "node").alias("component"))

@@ -110,6 +110,24 @@ def test_url_filters(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filters_judge_ends_that_are_no_pages(spark):
+    rows = [
+        (1, "http://one.info/a", '<link rel="canonical" href="http://a.com/en/x">'),
+        (2, "http://two.info/b", '<meta http-equiv="refresh" content="0; url=http://one.info/a">'),
+        (3, "http://b.net/de/2", '<link rel="canonical" href="http://one.info/a">'),
+        (4, "http://three.info/c", None),
+        (5, "http://four.info/d", '<link rel="canonical" href="http://x.net/de/9">'),
+        (6, "http://five.com/en", '<link rel="canonical" href="http://five.com/en/">'),
+        (7, "http://six.info/e", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+    log = [("http://three.info/c", "http://hop.info/"), ("http://hop.info", "https://gone.org/es/1"), ("http://z.com/en/y", "http://six.info/e"), (None, "http://z.com/en/y")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df, redirects=spark.createDataFrame(log, "from_url string, to_url string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "block"}
+
+
 def test_chat_matches_brute_force(spark):
     rng = random.Random(6)
     whole = [[(rng.choice(["user", "assistant"]), rng.choice(["hi", "a", "b", None, ""])) for _ in range(rng.randint(1, 9))] for _ in range(60)]

@@ -7,7 +7,8 @@ redirect, passes the block on to its pages without a rule of their own. A page t
 allowed, whatever its aliases, and an allowed page does not pass its allowance on.
 
 A URL names a node by host, path and query: scheme, fragment, a trailing slash of the path and ``utm_`` query
-parameters do not tell pages apart. Relative links are read against the page's host and folder.
+parameters do not tell pages apart. Relative links are read against the page's host and folder; ``.`` and ``..``
+segments are resolved first.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null or
 empty html has no links; repeated rows and several pages of one URL are one node and each give a
@@ -43,8 +44,35 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def resolved(url: Column) -> Column:
+    """The URL without ``.`` and ``..`` segments in its path (RFC 3986, 5.2.4)."""
+    return _once(url, lambda u: F.when(u.rlike(r"/\.\.?([/?#]|$)"), _once(u, _without_dots)).otherwise(u))
+
+
+def _without_dots(url: Column) -> Column:
+    pattern = r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$"
+    top, path, rest = [F.regexp_extract(url, pattern, i) for i in (1, 2, 3)]
+    segments = F.split(path, "/")  # the first is empty: a path starts with a slash
+    kept = F.aggregate(
+        F.slice(segments, 2, F.size(segments)),
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
+    )
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(top, F.lit("/"), F.array_join(kept, "/"), folder, rest)).otherwise(url)
+
+
 def node_of(url: Column) -> Column:
     """The name of a URL's node, null if it has no host."""
+    return _once(resolved(url), _node)
+
+
+def _node(url: Column) -> Column:
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.startswith("utm_") & (p != "")), "&")
     host = host_of(url)
@@ -80,7 +108,7 @@ def _absolute(link: Column, url: Column) -> Column:
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^/?#]*)*/)", 1)
     base = F.when(folder == "", F.concat(top, F.lit("/"))).otherwise(folder)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(top, link))
         .when(link != "", F.concat(base, link))
@@ -101,6 +129,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 
 def _edges(urls: DataFrame) -> DataFrame:
     """src, dst, src_url, dst_url of pairs of URLs (src_url, dst_url); two URLs of one node are an edge too."""
+    urls = urls.select(resolved(F.col("src_url")).alias("src_url"), resolved(F.col("dst_url")).alias("dst_url"))
     edges = urls.select(node_of(F.col("src_url")).alias("src"), node_of(F.col("dst_url")).alias("dst"), "src_url", "dst_url")
     return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src_url") != F.col("dst_url"))).distinct()
 

@@ -128,6 +128,16 @@ def test_url_filters_judge_ends_that_are_no_pages(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "block"}
 
 
+def test_links_are_resolved(spark):
+    cases = [("../x", "h/a/x"), ("../../../../x", "h/x"), ("./y/./z", "h/a/b/y/z"), ("..", "h/a"), (".", "h/a/b"), ("../..", "h"), ("/p/../q?r=../s", "h/q?r=../s")]
+    cases += [("/go?u=http://z/y", "h/go?u=http://z/y"), ("go?u=http://z/y", "h/a/b/go?u=http://z/y"), ("//z/y/../w", "z/w"), ("HTTPS://z/a/./b", "z/a/b"), ("..x/.y", "h/a/b/..x/.y"), ("x//../y", "h/a/b/x/y")]
+    rows = [(i, "http://h/a/b/c", f'<link rel="canonical" href="{link}">') for i, (link, _) in enumerate(cases)]
+    got = urlfilter.alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.dst for r in got} == {node for _, node in cases} and {r.src for r in got} == {"h/a/b/c"}
+    pages = spark.createDataFrame([(1, "http://h/a/b/c", rows[0][2]), (2, "http://h/a/x", '<link rel="canonical" href="http://k.com/d/../en/1">')], "page_id long, url string, html string")
+    assert [r.verdict for r in urlfilter.judge(pages).collect()] == ["block", "block"]
+
+
 def test_chat_matches_brute_force(spark):
     rng = random.Random(6)
     whole = [[(rng.choice(["user", "assistant"]), rng.choice(["hi", "a", "b", None, ""])) for _ in range(rng.randint(1, 9))] for _ in range(60)]

@@ -25,17 +25,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def with_own_id(docs: DataFrame) -> DataFrame:
+    """Adds own_id: one 64-bit hash for each distinct (doc_id, text), nulls included. doc_id alone may be null or repeat."""
+    return docs.withColumn("own_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class."""
-    classes = minhash.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps the document with the smallest doc_id of each class, null last; a document is a distinct (doc_id, text).
+
+    Rows that share a doc_id but hold different texts are classed apart, as are rows without a doc_id. Of rows equal in both, one stays.
+    """
+    keyed = with_own_id(docs)
+    classes = minhash.near_duplicates(keyed.select(F.col("own_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("classed"), "class_id")
+    names = keyed.select("own_id", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own_id"))
+    kept = classes.join(names, F.col("classed") == F.col("own_id")).groupBy("class_id").agg(first.alias("m")).select("m.own_id")
+    return keyed.join(kept, "own_id", "left_semi").dropDuplicates(["own_id"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold at least 0.8 of a benchmark item's shingles."""
-    found = materialize(decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents, told apart by (doc_id, text), that hold at least 0.8 of a benchmark item's shingles."""
+    keyed = with_own_id(docs)
+    pairs = decontam.contaminated(keyed.select(F.col("own_id").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = materialize(pairs.select(F.col("doc_id").alias("own_id")).distinct(), "contaminated")
+    return keyed.join(found, "own_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,3 +272,20 @@ def test_pipeline_stages(spark):
     rows = corpus_pipeline.run(spark, sf).orderBy("start").collect()
     assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
     assert {r.doc_id for r in rows} <= {d for d, c in classes.items() if c == d} & clean
+
+
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) > 15)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    near = text(1) + " end"
+    rows = [(None, text(0)), (None, text(1)), (7, near), (7, text(2)), (7, text(3)), (7, text(3)), (8, text(4)), (9, text(4) + " end"), (None, text(5)), (None, text(5) + " end"), (None, None), (5, None), (None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, x, "en", "s", len(x or "")) for d, x in rows], schema).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect())
+    of_five = [k for k in got if k[1] in (text(5), text(5) + " end")]
+    assert len(of_five) == 1
+    assert got - Counter(of_five) == Counter([(None, text(0)), (7, near), (7, text(2)), (7, text(3)), (8, text(4)), (None, None), (5, None), (None, "")])
+    leaks = [(None, f"{text(0)} {item}"), (None, text(1)), (7, f"{text(2)} {item}"), (7, text(3)), (None, None)]
+    docs = spark.createDataFrame([(d, x, "en", "s", len(x or "")) for d, x in leaks], schema)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()) == Counter([(None, text(1)), (7, text(3)), (None, None)])

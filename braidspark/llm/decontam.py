@@ -8,7 +8,8 @@ partition's bounds keep above about 0.15 for t = 0.8. With one hash function a b
 functions miss such a pair with a probability below (1 - 0.15)**64 = 3e-5; a passage that spans few blocks or
 repeats is met in several windows. Block minima of larger partitions are minima of the smaller ones', so
 a document's shingles are hashed once per function. A window's minimum that equals an item's is a
-candidate; the share of the item's distinct shingles that the whole document holds is then counted, and
+candidate. Items of up to SHORT shingles are too small for the smallest partition's bound: every shingle of a document
+is looked up among theirs, and one that is found makes a candidate. The share of the item's distinct shingles that the whole document holds is then counted, and
 pairs at or above the threshold are returned.
 
 Items are a query set: they are read in chunks of at most CHUNK_ITEMS items, whose signatures and
@@ -34,6 +35,7 @@ from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, mix64,
 
 N_HASHES = 64
 SMALLEST = 8
+SHORT = SMALLEST // 2
 CHUNK_ITEMS = 20_000
 PAIRS = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
 _MULTIPLIERS = mix64(np.arange(101, 101 + N_HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -54,6 +56,7 @@ class ContainmentIndex:
     item_ids: list[int]
     shingles: list[np.ndarray]  # sorted and distinct
     partitions: list[Partition]
+    short: Partition  # a single list each: all shingles of items of up to SHORT
 
 
 def _hash(x: np.ndarray, j: int) -> np.ndarray:
@@ -61,13 +64,25 @@ def _hash(x: np.ndarray, j: int) -> np.ndarray:
     return y ^ (y >> np.uint64(32))
 
 
+def _add_keys(part: Partition, keys: np.ndarray, items: np.ndarray) -> None:
+    order = np.argsort(keys, kind="stable")
+    part.keys.append(keys[order])
+    part.items.append(items[order])
+    part.filters.append(np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16) > 0)
+
+
 def build_index(items: list[tuple[int, str | None]], k: int = SHINGLE_WORDS) -> ContainmentIndex:
     """Signatures of the items, by size partition."""
     words = WordHashes()
     found = {(i, s.tobytes()): (i, s) for i, t in items if len(s := np.unique(shingles(words.of(t), k)))}
-    index = ContainmentIndex([i for i, _ in found.values()], [s for _, s in found.values()], [])
+    index = ContainmentIndex([i for i, _ in found.values()], [s for _, s in found.values()], [], Partition(1, [], [], []))
+    short = [at for at, own in enumerate(index.shingles) if len(own) <= SHORT]
+    if short:
+        _add_keys(index.short, np.concatenate([index.shingles[at] for at in short]), np.repeat(short, [len(index.shingles[at]) for at in short]))
     by_block: dict[int, list[int]] = {}
     for at, own in enumerate(index.shingles):
+        if len(own) <= SHORT:
+            continue
         block = SMALLEST
         while block < len(own):
             block *= 2
@@ -76,10 +91,7 @@ def build_index(items: list[tuple[int, str | None]], k: int = SHINGLE_WORDS) ->
         part = Partition(block, [], [], [])
         for j in range(N_HASHES):
             minima = np.array([_hash(index.shingles[at], j).min() for at in members], np.uint64)
-            order = np.argsort(minima, kind="stable")
-            part.keys.append(minima[order])
-            part.items.append(np.array(members)[order])
-            part.filters.append(np.bincount((minima & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16) > 0)
+            _add_keys(part, minima, np.array(members))
         index.partitions.append(part)
     return index
 
@@ -93,15 +105,26 @@ def _halve(minima: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def candidates(index: ContainmentIndex, grams: list[np.ndarray]) -> set[tuple[int, int]]:
-    """(document, item) pairs of which some window's minimum equals the item's. grams: shingles of each non-empty document."""
-    if not grams or not index.partitions:
+    """(document, item) pairs of which some window's minimum equals the item's, or that share a shingle if the item is short.
+
+    grams: shingles of each non-empty document.
+    """
+    if not grams or not index.shingles:
         return set()
     counts = np.array([len(g) for g in grams])
     flat, offsets = np.concatenate(grams), np.concatenate([[0], np.cumsum(counts)])
+    found: set[tuple[int, int]] = set()
+    for keys, items, seen in zip(index.short.keys, index.short.items, index.short.filters):
+        likely = np.flatnonzero(seen[(flat & np.uint64(0xFFFF)).astype(np.int64)])
+        low, high = np.searchsorted(keys, flat[likely]), np.searchsorted(keys, flat[likely], side="right")
+        docs = np.searchsorted(offsets, likely[high > low], side="right") - 1
+        for d, a, b in zip(docs.tolist(), low[high > low].tolist(), high[high > low].tolist()):
+            found.update((d, int(i)) for i in items[a:b])
+    if not index.partitions:
+        return found
     blocks = (counts + SMALLEST - 1) // SMALLEST
     first = np.concatenate([[0], np.cumsum(blocks)])
     at = np.repeat(offsets[:-1] - SMALLEST * first[:-1], blocks) + SMALLEST * np.arange(first[-1])
-    found: set[tuple[int, int]] = set()
     for j in range(N_HASHES):
         minima, starts, block = np.minimum.reduceat(_hash(flat, j), at), first, SMALLEST
         for part in index.partitions:

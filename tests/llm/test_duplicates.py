@@ -186,6 +186,18 @@ def test_contamination_in_chunks_and_empty(spark, monkeypatch):
     assert decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [5, 6, 8])
+def test_short_items_are_always_met(n_words):
+    rng = random.Random(n_words)
+    index = decontam.build_index([(i, " ".join(f"i{i}w{j}" for j in range(n_words))) for i in range(4000)])
+    words, grams = WordHashes(), []
+    for i in range(4000):
+        text = [f"d{rng.random()}" for _ in range(80)]
+        at = rng.randrange(80)
+        grams.append(shingles(words.of(" ".join(text[:at] + [f"i{i}w{j}" for j in range(n_words)] + text[at:])), 5))
+    assert decontam.candidates(index, grams) >= {(i, i) for i in range(4000)}
+
+
 def test_shingles_of_short_texts():
     w = WordHashes()
     assert len(shingles(w.of("one two"))) == 1 and len(shingles(w.of(""))) == 0 and len(shingles(w.of(None))) == 0

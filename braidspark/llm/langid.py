@@ -27,7 +27,7 @@ from braidspark.llm.common import mix64, slices, small_batches
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
 MAX_LANGS = 1000
-#: A text's log-likelihood counts as that of so many n-grams at most, so that its score keeps a spread.
+#: In the score, not in the decision, a text's log-likelihood counts as that of so many n-grams at most: so scores keep a spread.
 FULL_GRAMS = 60
 SLICE_CHARS = 1 << 18
 UNDETERMINED = "und"
@@ -110,7 +110,10 @@ def train(rows: DataFrame, alpha: float = 0.5) -> LanguageModel:
 
 
 def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Best language's index and posterior of each text."""
+    """Best language's index by the whole likelihood, and its posterior by the tempered one, of each text.
+
+    Where the prior outweighs the tempered likelihood, but not the whole one, the score leaves the prior out.
+    """
     owner, bucket = hashed_grams(texts)
     cells = np.bincount(owner, minlength=len(texts))
     # the sparse batch: entries ordered by text, one segment a text and n-gram order
@@ -119,10 +122,12 @@ def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.
     if len(owner):
         sums = np.stack([np.add.reduceat(model.log_prob[:, k][bucket], cuts) for k in range(len(model.langs))], axis=1)
         np.add.at(total, owner[cuts], sums)
-    tempered = total * np.minimum(1.0, FULL_GRAMS / np.maximum(cells, 1))[:, None] + model.log_prior
-    best = tempered.argmax(axis=1)
+    best = (total + model.log_prior).argmax(axis=1)
+    likelihood = total * np.minimum(1.0, FULL_GRAMS / np.maximum(cells, 1))[:, None]
+    tempered = likelihood + model.log_prior
+    tempered = np.where((tempered.argmax(axis=1) == best)[:, None], tempered, likelihood)
     weights = np.exp(tempered - tempered.max(axis=1, keepdims=True))
-    return best, weights.max(axis=1) / weights.sum(axis=1)
+    return best, weights[np.arange(len(best)), best] / weights.sum(axis=1)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:

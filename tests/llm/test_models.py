@@ -55,6 +55,15 @@ def test_naive_bayes_matches_brute_force():
         assert best[i] == p.argmax() and sure[i] == pytest.approx(p.max())
 
 
+def test_prior_does_not_outweigh_a_long_text():
+    rng = np.random.default_rng(1)
+    common = np.log(rng.dirichlet(np.full(langid.BUCKETS, 50.0)))
+    model = langid.LanguageModel(("common", "rare"), np.log([0.97, 0.03]), np.stack([common, common + 0.05], axis=1))
+    best, sure = langid.score_texts(model, ["abcd " * 500, "ab"])
+    # 0.05 nats for each of 60 n-grams is 3.0, the priors are 3.5 apart; the whole text has over 200
+    assert best.tolist() == [1, 0] and sure[0] == pytest.approx(1 / (1 + np.exp(-3.0))) and sure[1] > 0.9
+
+
 def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op2_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()

@@ -114,17 +114,19 @@ def _loss(g: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, -g)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0) -> np.ndarray:
-    """Weights that minimise the non-negative risk, by Adam on all rows."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0, counts: tuple | None = None) -> np.ndarray:
+    """Weights that minimise the non-negative risk, by Adam on all rows. counts: how often each positive and unlabelled row counts."""
+    cp, cu = counts or (np.ones(len(positive)), np.ones(len(unlabelled)))
+    cp, cu = cp / cp.sum(), cu / cu.sum()
     w = np.zeros(positive.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         gp, gu = positive @ w, unlabelled @ w
         sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        hidden = _loss(-gu).mean() - prior * _loss(-gp).mean()
-        of_hidden = unlabelled.T @ su / len(su) - prior * (positive.T @ sp) / len(sp)
+        hidden = cu @ _loss(-gu) - prior * (cp @ _loss(-gp))
+        of_hidden = unlabelled.T @ (cu * su) - prior * (positive.T @ (cp * sp))
         if hidden >= -beta:
-            grad = prior * (positive.T @ (sp - 1)) / len(sp) + of_hidden + decay * w
+            grad = prior * (positive.T @ (cp * (sp - 1))) + of_hidden + decay * w
         else:
             grad = -gamma * of_hidden
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -132,11 +134,14 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, counts: tuple | None = None) -> float:
     """Share of positives among the unlabelled: the least ratio of unlabelled to positive mass above any score
     that still has a twentieth of the positives. Scores: of a model of positives against unlabelled."""
-    cuts = np.quantile(positive, np.linspace(0.05, 0.95, 19))
-    ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
+    cp, cu = counts or (np.ones(len(positive)), np.ones(len(unlabelled)))
+    order = np.argsort(positive)
+    mass = np.cumsum(cp[order]) / cp.sum()
+    cuts = positive[order][np.minimum(np.searchsorted(mass, np.linspace(0.05, 0.95, 19)), len(order) - 1)]
+    ratios = [np.average(unlabelled >= c, weights=cu) / max(np.average(positive >= c, weights=cp), 1e-9) for c in cuts]
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 
@@ -144,15 +149,15 @@ def _extract(batches):
     for batch in batches:
         x = np.array([features(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, FEATURES)
         blobs = pa.array([row.tobytes() for row in x], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), blobs], ["positive", "unlabelled", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("of_positive"), batch.column("of_all"), blobs], ["of_positive", "of_all", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Fit on docs (doc_id, text) and labels (doc_id, quality): rows of quality 1 are the trusted positives, all rows
     the unlabelled web text.
 
-    About `sample` rows of each are drawn by a hash of doc_id and text, on keys alone; only theirs are the texts that
-    are read into features, and about 2 * sample * FEATURES floats the driver gets.
+    At most about `sample` rows of each are drawn by a hash of doc_id and text, on keys alone; c equal rows are one that is
+    drawn c times as likely and, where it would be drawn more than once, counts as often. Only theirs are the texts that are read into features, and about 2 * sample * FEATURES floats the driver gets.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -167,25 +172,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
         return unknown
     draw = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     of_positive, of_all = min(1.0, sample / positives), min(1.0, sample / total)
-    drawn = marked.where((F.col("positive") & (draw < of_positive)) | (draw < of_all))
-    drawn = drawn.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "positive", "negative", (draw < of_all).alias("unlabelled"))
-    # about 2 * sample rows of 20 bytes
-    read = keyed.join(F.broadcast(drawn), (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h")))
-    got = read.select("text", "positive", "unlabelled").mapInArrow(_extract, "positive boolean, unlabelled boolean, x binary").toArrow()
+    # equal rows are one; its weights are 0 where it is not drawn
+    once = marked.groupBy("doc_id", "text_hash", "positive", "negative").agg(F.count("*").alias("n"))
+    weight = lambda rate: F.when(draw < F.col("n") * rate, F.greatest(F.lit(1.0), F.col("n") * rate)).otherwise(0.0)
+    weighed = once.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "positive", F.when(F.col("positive"), weight(of_positive)).otherwise(0.0).alias("of_positive"), weight(of_all).alias("of_all"))
+    drawn = weighed.where("of_positive > 0 or of_all > 0").groupBy("d", "h").agg(F.sum("of_positive").alias("of_positive"), F.sum("of_all").alias("of_all"))
+    # about 2 * sample rows of 32 bytes
+    read = keyed.join(F.broadcast(drawn), (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h"))).dropDuplicates(["d", "h"])
+    got = read.select("text", "of_positive", "of_all").mapInArrow(_extract, "of_positive double, of_all double, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
-    is_positive, is_unlabelled = got.column("positive").to_numpy(), got.column("unlabelled").to_numpy()
+    cp, cu = got.column("of_positive").to_numpy(), got.column("of_all").to_numpy()
+    is_positive, is_unlabelled = cp > 0, cu > 0
     if not is_positive.any() or not is_unlabelled.any():
         return unknown
-    mean, scale = x[is_unlabelled].mean(axis=0), x[is_unlabelled].std(axis=0) + 1e-3
+    counts = cp, cu = cp[is_positive], cu[is_unlabelled]
+    mean = np.average(x[is_unlabelled], axis=0, weights=cu)
+    scale = np.sqrt(np.average((x[is_unlabelled] - mean) ** 2, axis=0, weights=cu)) + 1e-3
     mean[HASHED], scale[HASHED] = 0.0, 1.0
     z = (x - mean) / scale
     p, u = z[is_positive], z[is_unlabelled]
     if negatives:
         prior = positives / (positives + negatives)
     else:
-        plain = fit_nnpu(p, u, 0.5, steps=200)
-        prior = estimate_prior(p @ plain, u @ plain)
-    return QualityModel(fit_nnpu(p, u, min(max(prior, 0.02), 0.98)), mean, scale, prior)
+        plain = fit_nnpu(p, u, 0.5, steps=200, counts=counts)
+        prior = estimate_prior(p @ plain, u @ plain, counts)
+    return QualityModel(fit_nnpu(p, u, min(max(prior, 0.02), 0.98), counts=counts), mean, scale, prior)
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:

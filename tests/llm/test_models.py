@@ -64,6 +64,15 @@ def test_prior_does_not_outweigh_a_long_text():
     assert best.tolist() == [1, 0] and sure[0] == pytest.approx(1 / (1 + np.exp(-3.0))) and sure[1] > 0.9
 
 
+def test_quality_counts_equal_rows_as_often_as_they_occur(spark):
+    rows = [(1, "the good cat sat on a mat")] * 30 + [(i, f"buy {i} !!! now") for i in range(2, 12)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels)
+    x = np.array([quality.features(t) for _, t in rows], np.float32)
+    plain = [i for i in range(quality.FEATURES) if got.scale[i] != 1.0]
+    assert plain and got.mean[plain] == pytest.approx(x.mean(axis=0)[plain], abs=1e-5)
+
+
 def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op2_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()

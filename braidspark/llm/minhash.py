@@ -13,12 +13,12 @@ The near-duplicate operator:
 1. Texts with equal words collapse to the smallest doc_id (an aggregation, combined map-side).
 2. The others' signatures are cut in BANDS bands of ROWS; texts that agree in a band are in one bucket.
 3. In every bucket all members are compared with its pivot, the one that meets most others over all its buckets (in
-   buckets of up to SMALL, each with each); pairs are made distinct over all bands and verified exactly on their shingles (Jaccard similarity of the sets, or of
-   weights, >= 0.8).
-4. Verified pairs are edges of connected components.
-5. What is left of a bucket, without its pivot, and is not in one component yet is compared too, but for the
-   pairs that counts of the texts' own shingles rule out and those that a chain of links joins already (`_left_pairs`): no pair
-   of a bucket that could be similar enough stays uncompared. Thousands of near copies of one text are done in step 3.
+   buckets of up to SMALL, each with each); pairs are made distinct over all bands and verified exactly on their shingles
+   (Jaccard similarity of the sets, or of counts, >= 0.8).
+4. Verified pairs are edges of connected components. Buckets with members outside their pivot's component get a further
+   pivot from among those, round by round, while that shrinks what is left; later rounds join components alone.
+5. What is left is compared by an exact similarity join on what texts have otherwise than their pivot (`_left_pairs`):
+   no pair of a bucket that could be similar enough stays uncompared, and no pair is made only since a bucket holds both.
 
 Edge cases: null texts and texts without words have no duplicates; a text of one to four words is one
 shingle; rows with equal doc_id are one document, for which one of their texts stands; rows with null doc_id are
@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, slices, small_batches
@@ -123,6 +123,16 @@ def weighted(words: np.ndarray, k: int, weight: str) -> tuple[np.ndarray, np.nda
     return elements, counts.astype(np.float64)
 
 
+def elements_of(words: np.ndarray, k: int, weight: str) -> np.ndarray:
+    """A text as a sorted set. With counts, the i-th time that a shingle occurs is an element of its own: the similarity of
+    such sets is that of the counts, the sum of the lesser over the sum of the greater."""
+    if weight == "unit":
+        return np.unique(shingles(words, k))
+    own, counts = np.unique(shingles(words, k), return_counts=True)
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(mix64(np.repeat(own, counts) + turn.astype(np.uint64) * _DART))
+
+
 def _sign(k: int, weight: str):
     def run(batches):
         hashes = WordHashes()
@@ -149,24 +159,20 @@ def _sign(k: int, weight: str):
     return run
 
 
-def _alike(left: tuple, right: tuple) -> float:
-    (x, v), (y, w) = left, right
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) or not len(y):
         return 0.0
-    both, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if v is None:
-        return len(both) / (len(x) + len(y) - len(both))
-    shared = np.minimum(v[at], w[to]).sum()
-    return shared / (v.sum() + w.sum() - shared)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def similarity(a: str, b: str, words: WordHashes, k: int = SHINGLE_WORDS, weight: str = "unit") -> float:
     """Jaccard similarity of the texts' shingle sets, or of their counts."""
-    return _alike(weighted(words.of(a), k, weight), weighted(words.of(b), k, weight))
+    return _alike(elements_of(words.of(a), k, weight), elements_of(words.of(b), k, weight))
 
 
 class _Sets(dict):
-    """Document -> its weighted shingles; pairs come ordered by one side, so that few texts are read twice."""
+    """Document -> its set; pairs come ordered by one side, so that few texts are read twice."""
 
     LIMIT = 4_000_000
 
@@ -174,13 +180,13 @@ class _Sets(dict):
         super().__init__()
         self.k, self.weight, self.words, self.held = k, weight, WordHashes(), 0
 
-    def of(self, doc: int, text) -> tuple:
+    def of(self, doc: int, text) -> np.ndarray:
         if doc not in self:
-            self[doc] = own = weighted(self.words.of(text.as_py()), self.k, self.weight)
-            self.held += len(own[0])
+            self[doc] = own = elements_of(self.words.of(text.as_py()), self.k, self.weight)
+            self.held += len(own)
             if self.held > self.LIMIT:
                 self.clear()
-                self[doc], self.held = own, len(own[0])
+                self[doc], self.held = own, len(own)
         return self[doc]
 
 
@@ -190,63 +196,110 @@ def _verify(k: int, weight: str, threshold: float):
         for batch in batches:
             left, right = batch.column("src_text"), batch.column("dst_text")
             pairs = zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())
-            good = [i for i, (a, b) in enumerate(pairs) if _alike(sets.of(b, right[i]), sets.of(a, left[i])) >= threshold - 1e-9]
-            yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(good, pa.int64())), batch.column("dst").take(pa.array(good, pa.int64()))], ["src", "dst"])
+            good = pa.array([i for i, (a, b) in enumerate(pairs) if _alike(sets.of(b, right[i]), sets.of(a, left[i])) >= threshold - 1e-9], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("src").take(good), batch.column("dst").take(good)], ["src", "dst"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
-    """Pairs (src, dst) that are similar enough by their texts."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = texts.select(F.col("rep").alias("src"), F.col("text").alias("src_text"))
     second = texts.select(F.col("rep").alias("dst"), F.col("text").alias("dst_text"))
-    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(_verify(k, weight, threshold), "src long, dst long")
+    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "src_text", "dst_text")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
+    """Pairs (src, dst) that are similar enough by their texts."""
+    return _with_texts(pairs, texts).mapInArrow(_verify(k, weight, threshold), "src long, dst long")
+
 
+def _differences(k: int, weight: str):
+    """Of every pair (a text, its pivot): the text's size and the elements that only one of the two has."""
 
-def _shingles_of(k: int):
     def run(batches):
-        words = WordHashes()
+        sets = _Sets(k, weight)
         for batch in batches:
-            for doc, text in zip(batch.column("rep").to_pylist(), batch.column("text")):
-                own = np.unique(shingles(words.of(text.as_py()), k)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc, np.int64)), pa.array(own)], ["rep", "shingle"])
+            left, right = batch.column("src_text"), batch.column("dst_text")
+            for i, (doc, pivot) in enumerate(zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())):
+                own = sets.of(doc, left[i])
+                apart = np.setxor1d(own, sets.of(pivot, right[i]), assume_unique=True).view(np.int64)
+                columns = [np.full(len(apart), pivot, np.int64), np.full(len(apart), doc, np.int64), np.full(len(apart), len(own), np.int64), apart]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pivot", "rep", "size", "element"])
 
     return run
 
 
 def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
-    """Pairs (src, dst) of a bucket's members of different components that may be similar enough.
+    """Pairs (src, dst) of members of one bucket, but of different components, that may be similar enough.
+
+    left: pivot (the bucket's first), rep, component, main (the pivot's component); every rep was compared with the pivot. An exact
+    similarity join on what texts have otherwise than their pivot: with D(x) the elements that only one of x and the pivot
+    has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and they are similar enough only if these are at most
+    (|x| + |y|) (1 - threshold) / (1 + threshold). So D(x) and D(y) share at least (u(x) + u(y)) / 2 elements, where
+    u(x) = |D(x)| - |x| (1 - threshold) / (1 + threshold). That is above 0, since one of the two is not linked to the pivot.
 
-    left: bucket, rep, component. A shingle that no other of these texts has is in no intersection: with n shingles, s of
-    them in another text too, two texts are at most as similar as m / (n1 + n2 - m), m the smaller s. Copies that are too far
-    from all others, mostly by edits of their own, so drop out by arithmetic, and a bucket's largest
-    component meets only the texts that are left outside it.
+    * An element that texts of one component alone have counts for no pair; a text with too few others drops out.
+    * Of the rest a text shows its rarest elements alone, as many as must hold a shared one (prefix filter), and two
+      texts meet where they show the same element, one of them from outside the pivot's component.
+
+    What copies have in common with the pivot, however many they are, is in no D; edits that no two of them share drop out.
     """
-    docs = left.select(F.col("rep").alias("r")).distinct()
-    grams = materialize(texts.join(docs, F.col("rep") == F.col("r"), "left_semi").select("rep", "text").mapInArrow(_shingles_of(k), "rep long, shingle long"), "shingles")
-    common = grams.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select(F.col("shingle").alias("g"))
-    marked = grams.join(common, F.col("shingle") == F.col("g"), "left")
-    sizes = marked.groupBy("rep").agg(F.count("*").alias("n"), F.count("g").alias("s")).select(F.col("rep").alias("z"), "n", "s")
-    sized = left.join(sizes, F.col("rep") == F.col("z")).drop("z")
-    if weight == "unit":
-        # no other text can be similar enough to one with so many shingles of its own
-        sized = sized.where(F.col("s") >= threshold * F.col("n") - 1e-9)
-    else:
-        sized = sized.withColumn("s", F.col("n"))
-    sized = materialize(sized, "left")
-    main = sized.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"))
-    main = main.select(F.col("bucket").alias("mb"), F.col("m.component").alias("main"))
-    outside = sized.join(main, F.col("bucket") == F.col("mb")).where(F.col("component") != F.col("main")).select("bucket", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("on"), F.col("s").alias("os"))
-    least = F.least("s", "os")
-    bound = (least >= threshold * (F.col("n") + F.col("on") - least) - 1e-9) if weight == "unit" else F.lit(True)
-    joined = sized.withColumnRenamed("bucket", "jb").join(outside, (F.col("jb") == F.col("bucket")) & (F.col("component") != F.col("oc")) & bound)
-    return joined.select(F.greatest("rep", "o").alias("src"), F.least("rep", "o").alias("dst")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY, weight: str = "unit", pivot_rounds: int = 1) -> DataFrame:
+    gamma = (1 - threshold) / (1 + threshold)
+    left = left.select(F.col("pivot").alias("p"), F.col("rep").alias("r"), "component", (F.col("component") != F.col("main")).alias("outside"))
+    pairs = left.select(F.col("r").alias("src"), F.col("p").alias("dst")).distinct()
+    apart = materialize(_with_texts(pairs, texts).mapInArrow(_differences(k, weight), "pivot long, rep long, size long, element long"), "differences")
+    grams = apart.join(left.distinct(), (F.col("pivot") == F.col("p")) & (F.col("rep") == F.col("r"))).drop("p", "r")
+    spread = grams.groupBy("pivot", "element").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = spread.where("low != high").select(F.col("pivot").alias("sp"), F.col("element").alias("se"), "df")
+    counted = materialize(grams.join(spread, (F.col("pivot") == F.col("sp")) & (F.col("element") == F.col("se")), "left").drop("sp", "se"), "differences")
+    docs = counted.groupBy("pivot", "rep").agg(F.first("component").alias("component"), F.first("outside").alias("outside"), F.first("size").alias("size"), F.count("*").alias("d"), F.count("df").alias("s"))
+    docs = materialize(docs.withColumn("u", F.col("d") - gamma * F.col("size")), "differing")
+    for _ in range(3):  # every turn may raise the least that partners have, and so rule out more
+        least = docs.groupBy("pivot").agg(F.min("u").alias("any"), F.min(F.when(F.col("outside"), F.col("u"))).alias("out")).select(F.col("pivot").alias("lp"), "any", "out")
+        docs = docs.drop("need").join(least, F.col("pivot") == F.col("lp")).withColumn("need", F.ceil((F.col("u") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))) / 2 - 1e-9))
+        docs = materialize(docs.where(F.col("s") >= F.col("need")).drop("lp", "any", "out"), "differing")
+    by_text = Window.partitionBy("pivot", "rep").orderBy("df", "element")
+    shown = counted.where("df is not null").join(docs.select(F.col("pivot").alias("dp"), F.col("rep").alias("dr"), "d", "s", "u", "need"), (F.col("pivot") == F.col("dp")) & (F.col("rep") == F.col("dr"))).drop("dp", "dr")
+    # elements that count for no pair are the rarest of all
+    shown = shown.withColumn("place", F.row_number().over(by_text) + F.col("d") - F.col("s")).where(F.col("place") <= F.col("d") - F.col("need") + 1)
+    shown = materialize(shown.select("pivot", "element", "rep", "component", "outside", "d", "s", "u", "place"), "shown")
+    names = ["element", "rep", "component", "outside", "d", "s", "u", "place"]
+    other = shown.where("outside").select(F.col("pivot").alias("op"), *[F.col(c).alias(f"o_{c}") for c in names])
+    # two texts from outside meet once; behind the first element that two texts share there must be room for the rest
+    once = ~F.col("outside") | (F.col("rep") > F.col("o_rep"))
+    room = F.least("s", "o_s", F.col("d") - F.col("place") + 1, F.col("o_d") - F.col("o_place") + 1) >= (F.col("u") + F.col("o_u")) / 2 - 1e-9
+    meet = (F.col("pivot") == F.col("op")) & (F.col("element") == F.col("o_element")) & (F.col("component") != F.col("o_component")) & once & room
+    return shown.join(other, meet).select(F.greatest("rep", "o_rep").alias("src"), F.least("rep", "o_rep").alias("dst")).distinct()
+
+
+def _relabelled(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component after further links: only the components that these join are worked on."""
+    if components is None:
+        return materialize(connected_components(links), "classes")
+    first, second = (components.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("n1", "c1"), ("n2", "c2")))
+    ends = links.join(first, F.col("src") == F.col("n1"), "left").join(second, F.col("dst") == F.col("n2"), "left")
+    joined = connected_components(ends.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
+    joined = materialize(joined.select(F.col("node").alias("j"), F.col("component").alias("to")), "joined")
+    old = components.join(joined, F.col("component") == F.col("j"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.join(components, F.col("j") == F.col("node"), "left_anti").select(F.col("j").alias("node"), F.col("to").alias("component"))
+    return materialize(old.unionByName(new), "classes")
+
+
+def _placed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """members (bucket, rep, met, first) with their component and that of the bucket's first pivot, of the buckets in which some
+    member is in another one than the pivot."""
+    of = components.select("node", F.col("component").alias("of"))
+    out = members.join(of, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("of", "rep")).drop("node", "of")
+    out = out.join(of, F.col("first") == F.col("node"), "left").withColumn("main", F.coalesce("of", "first")).drop("node", "of")
+    open_ = out.where("component != main").select(F.col("bucket").alias("b")).distinct()
+    return materialize(out.join(open_, F.col("bucket") == F.col("b"), "left_semi"), "open")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float = SIMILARITY, weight: str = "unit", shrinking: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), one row for each doc_id of (doc_id, text).
 
-    pivot_rounds: how often a bucket's open members meet a pivot before what is left is compared by `_left_pairs`.
+    shrinking: while a round of further pivots leaves at most this share of the texts that were in no pivot's component, there
+    is another round; then `_left_pairs` compares what is left.
     """
     if weight not in ("unit", "count"):
         raise ValueError(f"weight is unit or count, not {weight!r}")
@@ -266,39 +319,38 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float =
     shared = materialize(buckets.join(sizes, F.col("bucket") == F.col("b")).drop("b"), "buckets")
     # how many others a text meets: a group's centre meets the most, copies of it meet each other less often
     met = shared.groupBy(F.col("rep").alias("r")).agg(F.sum("n").alias("met"))
-    open_ = materialize(shared.join(met, F.col("rep") == F.col("r")).select("bucket", "rep", "met", (F.col("n") <= SMALL).alias("small")), "buckets")
-    wanted = chosen.join(open_.select(F.col("rep").alias("r")), F.col("rep") == F.col("r"), "left_semi")
+    members = materialize(shared.join(met, F.col("rep") == F.col("r")).select("bucket", "rep", "met", (F.col("n") <= SMALL).alias("small")), "buckets")
+    wanted = chosen.join(members.select(F.col("rep").alias("r")), F.col("rep") == F.col("r"), "left_semi")
     texts = materialize(rows.join(wanted, is_chosen).select("rep", "text").dropDuplicates(["rep"]), "candidate-texts")
 
-    def components_of(links: DataFrame) -> DataFrame:
-        return materialize(connected_components(links), "classes")
-
-    edges = components = None
-    for turn in range(pivot_rounds):
-        first = F.max(F.struct("met", (-F.col("rep")).alias("least"), "rep"))
-        pivots = materialize(open_.groupBy("bucket").agg(first.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("pivot")), "pivots")
-        with_pivot = open_.join(pivots, F.col("bucket") == F.col("b")).where(F.col("rep") != F.col("pivot"))
-        pairs = with_pivot.select(F.greatest("rep", "pivot").alias("src"), F.least("rep", "pivot").alias("dst"))
-        if turn == 0:
-            other = open_.where("small").select(F.col("bucket").alias("b"), F.col("rep").alias("dst"))
-            each = open_.where("small").join(other, (F.col("bucket") == F.col("b")) & (F.col("rep") > F.col("dst")))
-            pairs = pairs.unionByName(each.select(F.col("rep").alias("src"), "dst"))
-        found = materialize(_links(materialize(pairs.distinct(), "pairs"), texts, k, weight, threshold), "links")
-        if edges is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            components = components_of(edges)
-        # what is left of each bucket: all but the pivot, if that is in more than one component
-        left = (with_pivot.where("not small") if turn == 0 else with_pivot).select("bucket", "rep", "met")
-        left = left.join(components, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "met", F.coalesce("component", "rep").alias("component"))
-        mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("b"))
-        open_ = materialize(left.join(mixed, F.col("bucket") == F.col("b"), "left_semi"), "open")
-        if open_.isEmpty():
-            break
-    else:
-        pairs = materialize(_left_pairs(open_.select("bucket", "rep", "component"), texts, k, weight, threshold), "left-pairs")
+    most_met = F.max(F.struct("met", (-F.col("rep")).alias("least"), "rep"))
+    pivots = members.groupBy("bucket").agg(most_met.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("first"))
+    members = materialize(members.join(pivots, F.col("bucket") == F.col("b")).where(F.col("rep") != F.col("first")).drop("b"), "members")
+    pairs = members.select(F.greatest("rep", "first").alias("src"), F.least("rep", "first").alias("dst"))
+    other = members.where("small").select(F.col("bucket").alias("b"), F.col("rep").alias("dst"))
+    each = members.where("small").join(other, (F.col("bucket") == F.col("b")) & (F.col("rep") > F.col("dst")))
+    pairs = pairs.unionByName(each.select(F.col("rep").alias("src"), "dst"))
+    components = _relabelled(None, materialize(_links(materialize(pairs.distinct(), "pairs"), texts, k, weight, threshold), "links"))
+    open_ = _placed(members.where("not small").select("bucket", "rep", "met", "first"), components)
+    outside = lambda: open_.where("component != main").select("rep").distinct().count()
+    now, before = outside(), None
+    while now and (before is None or now <= shrinking * before):
+        # the next pivot: the one that meets most others among those outside the component of the first
+        next_ = open_.where("component != main").groupBy("bucket").agg(most_met.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("pivot"))
+        met_next = open_.join(next_, F.col("bucket") == F.col("b")).drop("b")
+        own = met_next.where(F.col("rep") == F.col("pivot")).select(F.col("bucket").alias("b"), F.col("component").alias("pc"))
+        met_next = materialize(met_next.join(own, F.col("bucket") == F.col("b")).drop("b").where(F.col("rep") != F.col("pivot")), "open")
+        pairs = met_next.where("component != pc").select(F.greatest("rep", "pivot").alias("src"), F.least("rep", "pivot").alias("dst")).distinct()
+        found = materialize(_links(pairs, texts, k, weight, threshold), "links")
+        if not found.isEmpty():
+            components = _relabelled(components, found)
+        open_ = _placed(met_next.select("bucket", "rep", "met", "first"), components)
+        before, now = now, outside()
+    if now:
+        pairs = materialize(_left_pairs(open_.select(F.col("first").alias("pivot"), "rep", "component", "main"), texts, k, weight, threshold), "left-pairs")
         found = materialize(_links(pairs, texts, k, weight, threshold), "links")
         if not found.isEmpty():
-            components = components_of(edges.unionByName(found))
+            components = _relabelled(components, found)
     classes = membership.join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     wordless = rows.select("doc_id").distinct().join(membership.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_anti")
     return classes.unionByName(wordless.withColumn("class_id", F.col("doc_id")))

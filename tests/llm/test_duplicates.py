@@ -51,14 +51,72 @@ def near_copies(seed=3, n=150):
     return out
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_near_duplicates_match_brute_force(spark, rounds):
+@pytest.mark.parametrize("shrinking", [0.0, 0.8, 0.99])
+def test_near_duplicates_match_brute_force(spark, shrinking):
     rows = [*near_copies(), (900, None), (901, ""), (902, " .!"), (903, "a b c d e f g"), (904, "a b c d e f g"), (905, "w " * 30000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).repartition(3)
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, pivot_rounds=rounds).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, shrinking=shrinking).collect()}
     assert got == classes_by_brute_force(rows)
 
 
+def copies_of_a_missing_text(n, seed=9, length=110):
+    """Copies of one text that is not there, each with edits of its own, some of them shared by a few."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    shared = [(rng.randrange(length), f"s{i}") for i in range(12)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for j in range(rng.choice([1, 1, 2, 2, 3, 4])):
+            w[rng.randrange(length)] = f"e{i}x{j}"
+        for at, new in rng.sample(shared, rng.choice([0, 0, 1, 3])):
+            w[at] = new
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_thousands_of_copies_around_a_missing_text(spark, monkeypatch):
+    rows = copies_of_a_missing_text(1500)
+    made = {}
+    keep = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name, **o: made.setdefault(name, keep(df, name, **o)) if name == "left-pairs" else keep(df, name, **o))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = classes_by_brute_force(rows)
+    assert got == want and 20 < len(set(want.values())) < 1400
+    # 600,000 pairs of outside texts would meet; nearly all are ruled out before
+    assert 0 < made["left-pairs"].count() < 20_000
+
+
+def test_near_duplicates_by_counts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(80):
+        line = [f"l{i % 8}w{j}" for j in range(rng.choice([3, 6, 9]))]
+        w = line * rng.choice([4, 5, 5, 6, 20])
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    words = WordHashes()
+    sets = {d: minhash.weighted(words.of(t), 5, "count") for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in sets:
+        for b in sets:
+            both, at, to = np.intersect1d(sets[a][0], sets[b][0], return_indices=True)
+            low = np.minimum(sets[a][1][at], sets[b][1][to]).sum()
+            high = sets[a][1].sum() + sets[b][1].sum() - low
+            assert minhash.similarity(rows[a][1], rows[b][1], words, weight="count") == pytest.approx(low / high)
+            if a < b and low >= 0.8 * high - 1e-9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, weight="count").collect()}
+    assert got == {d: find(d) for d in sets} and 8 < len(set(got.values())) < 80
+
+
 def test_near_duplicates_edges(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -6,7 +6,7 @@ token store (a tokenizer): tests/llm holds those against brute force, held-out l
 
 from __future__ import annotations
 
-from braidspark.llm.mixing import BUCKET_DOCS
+from braidspark.llm.mixing import BLOCK_WORDS, BUCKET_DOCS, GOLDEN, LEAST_SLOTS
 from braidspark.llm.urlfilter import RULES
 
 _SHINGLES = r"""
@@ -21,7 +21,9 @@ _SHINGLES = r"""
 
 OP1 = f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(md5(text), '')) AS h
+  FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
 ), r AS (
@@ -38,14 +40,25 @@ WITH d AS (
     CASE WHEN c.k < f.k OR f.k IS NULL THEN CAST(2 * c.source_size AS DOUBLE) ELSE CAST(c.w * o.left_2 AS DOUBLE) / (2 * o.open_w) END AS target,
     CASE WHEN c.k < f.k OR f.k IS NULL THEN 2 * c.source_size ELSE (2 * c.w * o.left_2 + 2 * o.open_w) // (4 * o.open_w) END AS goal
   FROM c CROSS JOIN first_open f LEFT JOIN c AS o ON o.k = f.k
+), g AS (
+  SELECT *, CAST(sum(goal) OVER (ORDER BY source NULLS LAST) AS HUGEINT) AS upto, CAST(sum(goal) OVER () AS HUGEINT) AS goals FROM t
+), b AS (
+  SELECT *, (upto - goal) * 4294967296 // goals AS low, upto * 4294967296 // goals AS high, CAST(greatest(1, least({BLOCK_WORDS}, goals // {LEAST_SLOTS})) AS BIGINT) AS block FROM g WHERE goals > 0
+), points AS (
+  SELECT slot, slot % 2147483648 * {GOLDEN} % 4294967296 AS point FROM (SELECT unnest(range(CAST((goals + block - 1) // block AS BIGINT))) AS slot FROM (SELECT DISTINCT goals, block FROM b))
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN b ON point >= low AND point < high
+), n AS (
+  SELECT source, count(*) AS n FROM slots GROUP BY source
 ), o AS (
-  SELECT d.*, t.source_size, t.target, t.goal,
-    coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % ((SELECT count(*) FROM d) // {BUCKET_DOCS} + 1), h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, t.source_size, t.target, coalesce(b.block, 1) AS block, coalesce(n.n * b.block, 0) AS until,
+    coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % ((SELECT count(*) FROM d) // {BUCKET_DOCS} + 1), h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source
 )
 SELECT doc_id, size, source_size, target,
-  greatest(0, least(pos + size, goal) - pos) + greatest(0, least(source_size + pos + size, goal) - source_size - pos) AS taken
-FROM o"""
+  greatest(0, least(pos + size, until) - pos) + greatest(0, least(source_size + pos + size, until) - source_size - pos) AS taken,
+  CASE WHEN size > 0 THEN slots.slot END AS first_slot
+FROM o LEFT JOIN slots ON o.source IS NOT DISTINCT FROM slots.source AND slots.rank = pos // block"""
 
 
 def _op3() -> str:

@@ -19,7 +19,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return mixing.taken_by_document(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_by_document(documents, pieces).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

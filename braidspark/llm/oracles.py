@@ -91,7 +91,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 OP7 = """
-WITH c AS (SELECT conv_id, list({r: role, t: text} ORDER BY turn, role, text) AS l, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM conversations GROUP BY conv_id)
+WITH c AS (SELECT conv_id, list({r: role, t: text} ORDER BY turn, role, md5(text)) AS l, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, md5(text)) AS rendered FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST(0 AS BIGINT) AS segment, CAST(len(l) AS BIGINT) AS n_turns, rendered FROM c a
 WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND b.l[1:len(a.l)] = a.l AND (len(b.l) > len(a.l) OR b.conv_id < a.conv_id))"""
 

@@ -18,13 +18,15 @@ below x, the sorted suffixes split into classes that agree in x bytes. A window
 if another context has the same left class at d and the same right class at length - d, found by sorted search.
 
 Merging. Contexts of one gram beyond SHARD_CONTEXTS (a passage in a great many different surroundings) are
-several shards. Their windows are merged by fingerprints: each shard's windows are sorted and collapsed, and
-the counts of equal ones from all shards are added up (combined map-side), so that no task holds the whole group.
+dealt to several shards by hash. A shard finds its own repeats, and gives each of its distinct windows once, by a 128-bit
+fingerprint, so that a window comes at most once from a shard. The shards' windows are cut in ranges of fingerprints, not
+shard against shard, and sorted; binary search in that order tells which are in two shards or more. A window that is alone in its
+shard is repeated if it is.
 
 Edge cases: texts are UTF-8 bytes; null and empty texts, and texts shorter than `length`, lose nothing;
 repeated rows are documents of their own, so that a repeated long row is removed whole; matches overlap
 freely, within a document too; null doc_id is a key like another; an empty table gives no rows; other
-columns are ignored.
+columns are ignored. Texts of over PART_BYTES are searched in parts that overlap; what is found does not depend on it.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ GRAM = 64
 SHARD_BYTES = 8 << 20
 SHARD_CONTEXTS = 20_000
 SLICE_BYTES = 1 << 20
+#: Window starts of a text that are searched at once: places must fit in _PLACE.
+PART_BYTES = 1 << 27
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _STEPS = mix64(np.arange(501, 509, dtype=np.uint64)) | np.uint64(1)
 _PLACE = np.uint64((1 << 28) - 1)
@@ -106,17 +110,27 @@ def _slices(blobs: list[bytes]):
         yield start, len(blobs)
 
 
+def _parts(blobs: list[bytes], length: int):
+    """(index of the first text, offset in it, texts) to be searched at once: several texts, or a part of a long one."""
+    for a, b in _slices(blobs):
+        if b > a + 1 or len(blobs[a]) < PART_BYTES + length:
+            yield a, 0, blobs[a:b]
+        else:
+            for start in range(0, len(blobs[a]) - length + 1, PART_BYTES):
+                yield a, start, [blobs[a][start : start + PART_BYTES + length - 1]]
+
+
 def _find_runs(length: int, gram: int):
     def run(batches):
         for batch in batches:
             blobs = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            for a, b in _slices(blobs):
-                joined = b"".join(blobs[a:b])
-                ends = np.cumsum([len(x) for x in blobs[a:b]])
+            for a, offset, texts in _parts(blobs, length):
+                joined = b"".join(texts)
+                ends = np.cumsum([len(x) for x in texts])
                 first, last, anchors, h = runs(np.frombuffer(joined, np.uint8), ends, length, gram)
                 doc = np.searchsorted(ends, first, side="right")
-                start = np.concatenate([[0], ends])[doc]
+                start = np.concatenate([[0], ends])[doc] - offset
                 digest = b"".join(xxhash.xxh3_128_digest(joined[p : q + length], seed=c - p) for p, q, c in zip(first.tolist(), last.tolist(), anchors.tolist()))
                 c12 = np.frombuffer(digest, "<i8").reshape(-1, 2)
                 rows = pa.array(doc + a)
@@ -278,27 +292,83 @@ def _cut_contexts(length: int):
     return run
 
 
-def _windows(length: int):
+def _fingerprints(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """Of every window of contexts (rows): the context's index, the offset, and the two halves of its fingerprint."""
+    counts = np.array([r[4] - r[3] + 1 for r in rows])
+    of = np.repeat(np.arange(len(rows)), counts)
+    d = np.concatenate([np.arange(r[3], r[4] + 1) for r in rows])
+    digest = b"".join(xxhash.xxh3_128_digest(r[6][r[4] - x : r[4] - x + length]) for r in rows for x in range(r[3], r[4] + 1))
+    w = np.frombuffer(digest, "<i8").reshape(-1, 2)
+    return of, d, np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1])
+
+
+def _shared_shards(length: int):
+    """Of the shards of a gram that has several: the spans that repeat in the shard, and each distinct window once."""
+
+    def solve(rows):
+        low, high, n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
+        spans = repeated_offsets([r[6] for r in rows], low, high, n, length)
+        known = [(r[1], r[2], s) for r, s in zip(rows, spans) if s]
+        none = pa.nulls(len(known), pa.int64())
+        yield [pa.array([k[0] for k in known], pa.int64()), pa.array([k[1] for k in known], pa.int64()), pa.array([k[2] for k in known], pa.list_(pa.int32())), none, none, pa.nulls(len(known), pa.bool_())]
+        of, d, w1, w2 = _fingerprints(rows, length)
+        order = np.lexsort((w2, w1))
+        of, d, w1, w2 = of[order], d[order], w1[order], w2[order]
+        new = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+        alone = (np.diff(np.append(new, len(w1))) == 1) & (n[of[new]] == 1)
+        c1, c2 = (np.array([r[i] for r in rows], np.int64)[of[new]] for i in (1, 2))
+        offsets = pa.array(np.arange(0, 2 * len(new) + 1, 2, dtype=np.int32))
+        yield [pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(offsets, pa.array(np.repeat(d[new], 2).astype(np.int32))), pa.array(w1[new]), pa.array(w2[new]), pa.array(alone)]
+
     def run(batches):
+        rows, last = [], None
         for batch in batches:
-            for _, c1, c2, low, high, n, context in zip(*(c.to_pylist() for c in batch.columns)):
-                d = np.arange(low, high + 1)
-                digest = b"".join(xxhash.xxh3_128_digest(context[high - x : high - x + length]) for x in d.tolist())
-                w = np.frombuffer(digest, "<i8").reshape(-1, 2)
-                columns = [np.full(len(d), c1), np.full(len(d), c2), d, np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1]), np.full(len(d), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["c1", "c2", "d", "w1", "w2", "n"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = row[0], row[-1]
+                if key != last and rows:
+                    for columns in solve(rows):
+                        yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "spans", "w1", "w2", "alone"])
+                    rows = []
+                rows.append(row)
+                last = key
+        for columns in solve(rows) if rows else ():
+            yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "spans", "w1", "w2", "alone"])
 
     return run
 
 
-def _merge_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of contexts whose gram has more of them than a shard takes: by counts of their fingerprints."""
-    windows = contexts.mapInArrow(_windows(length), "c1 long, c2 long, d long, w1 long, w2 long, n long")
-    windows = materialize(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
-    hit = windows.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi")
-    d = F.col("d").cast("int")
-    return hit.groupBy("c1", "c2").agg(F.flatten(F.collect_list(F.array(d, d))).alias("spans"))
+def _merge_ranges(batches):
+    """Of sorted windows of many shards: those alone in their shard, but in another one too. A key's rows are found by binary search."""
+    held = None
+
+    def found(rows):
+        key = np.empty(rows.num_rows, [("w1", np.int64), ("w2", np.int64)])
+        key["w1"], key["w2"] = rows.column("w1").to_numpy(), rows.column("w2").to_numpy()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        at = np.searchsorted(first, np.arange(len(key)), side="right") - 1
+        many = np.diff(np.append(first, len(key)))[at] > 1
+        return rows.filter(pa.array(many & rows.column("alone").to_numpy(zero_copy_only=False))).select(["c1", "c2", "spans"])
+
+    for batch in batches:
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        # the last key's rows may go on in the next batch
+        w1, w2 = rows.column("w1").to_numpy(), rows.column("w2").to_numpy()
+        begin = int(np.searchsorted(w1, w1[-1])) if len(w1) else 0
+        begin += int(np.searchsorted(w2[begin:], w2[-1])) if len(w1) else 0
+        yield found(rows.slice(0, begin))
+        held = rows.slice(begin)
+    if held is not None:
+        yield found(held)
+
+
+def _merge_shards(contexts: DataFrame, length: int, shard_contexts: int) -> DataFrame:
+    """c1, c2, spans of repeated windows of contexts (with k, the number of their gram's) that take several shards."""
+    shard = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("k") / shard_contexts)).cast("int")
+    names = [f.strip().split(" ")[0] for f in CONTEXTS.split(",")]
+    dealt = contexts.select(*names, shard.alias("shard")).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    solved = materialize(dealt.mapInArrow(_shared_shards(length), "c1 long, c2 long, spans array<int>, w1 long, w2 long, alone boolean"), "windows")
+    windows = solved.where("w1 is not null").repartitionByRange("w1", "w2").sortWithinPartitions("w1", "w2")
+    return solved.where("w1 is null").select("c1", "c2", "spans").unionByName(windows.mapInArrow(_merge_ranges, REPEATED))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -309,6 +379,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     found = materialize(docs.mapInArrow(_find_runs(length, gram), RUNS), "runs")
     contexts_of = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c1").alias("least"), F.max("c1").alias("most"))
     grams = contexts_of.where("n > 1").select(F.col("anchor").alias("g"), (F.col("least") == F.col("most")).alias("one"))
+    # written, so that the join can split a gram of a third of all runs
+    grams = materialize(grams, "grams")
     candidates = materialize(found.join(grams, F.col("anchor") == F.col("g")).drop("g"), "candidate-runs")
     # of each context, one place to read it from and how often it occurs
     place = F.min(F.struct("doc_id", "text_hash", "at")).alias("place")
@@ -320,13 +392,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     contexts = read.mapInArrow(_cut_contexts(length), CONTEXTS).dropDuplicates(["anchor", "c1", "c2"])
     contexts = materialize(contexts, "contexts")
     counted = contexts.groupBy("anchor").agg(F.count("*").alias("k"))
-    large = materialize(counted.where(F.col("k") > shard_contexts).select(F.col("anchor").alias("g")), "large-grams")
+    large = materialize(counted.where(F.col("k") > shard_contexts).select(F.col("anchor").alias("g"), "k"), "large-grams")
     names = [f.strip().split(" ")[0] for f in CONTEXTS.split(",")]
     fit = contexts if large.isEmpty() else contexts.join(large, F.col("anchor") == F.col("g"), "left_anti")
     spans = fit.select(*names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), REPEATED)
     if not large.isEmpty():
-        spans = spans.unionByName(_merge_windows(contexts.join(large, F.col("anchor") == F.col("g"), "left_semi").select(*names), length))
-    spans = materialize(spans, "repeated").select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "spans")
+        spans = spans.unionByName(_merge_shards(contexts.join(large, F.col("anchor") == F.col("g")), length, shard_contexts))
+    spans = spans.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2")).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a context's windows
+    spans = materialize(spans, "repeated")
     many = candidates.where("not one").join(spans, (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2"))).select("doc_id", "text_hash", "at", "spans")
     # every run of a gram with one context repeats whole
     whole = candidates.where("one").select("doc_id", "text_hash", "at", F.array("low", "high").alias("spans"))
@@ -371,7 +444,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text: what is left, a character that a cut has broken replaced."""
+    return removed.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

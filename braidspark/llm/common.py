@@ -32,12 +32,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where unset, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="braidspark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -58,7 +60,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = session(df)
     path = scratch_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` wrote and nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = session(df)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +88,11 @@ def held_out(key):
     return F.coalesce(fold_of(key) == 0, F.lit(False))
 
 
+def learned_from(key):
+    """True where the fold is another one than 0; false for null keys, which have no fold."""
+    return F.coalesce(fold_of(key) != 0, F.lit(False))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidspark.llm import chat, decontam, langid, minhash, mixing, quality, suffixdedup, tokenstore, topk, urlfilter
-from braidspark.llm.common import held_out, read_table, scratch_path
+from braidspark.llm.common import held_out, learned_from, read_table, scratch_path
 
 END_ID = 1
 
@@ -24,9 +24,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
-    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    model = quality.train(docs.where(~F.col("held_out")), labels)
-    return quality.score(docs, model, ["doc_id", "held_out"])
+    features = quality.extract(docs, ["doc_id", "held_out"])
+    labels = read_table(spark, sf_dir, "labels").where(learned_from(F.col("doc_id")))
+    model = quality.fit(features.where(learned_from(F.col("doc_id"))), labels)
+    return quality.score_features(features, model, ["doc_id", "held_out"])
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
-    model = langid.train(docs.where(~F.col("held_out")))
+    model = langid.train(docs.where(learned_from(F.col("doc_id"))))
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
@@ -15,7 +16,7 @@ from braidspark.functions.flags import FLAG_COLUMNS
 from braidspark.sources import bai, bam, bgzf, files
 from braidspark.sources.datasource import BamDataSource, arrow_schema, plan_file
 
-__all__ = ["AlignmentFile", "BamRecord", "RecordIterator", "bam_header", "count", "count_by_split", "linear_index", "read_bam", "references", "register", "splits", "write_bam"]
+__all__ = ["AlignmentFile", "BamRecord", "RecordIterator", "bam_header", "count", "count_by_split", "in_file_order", "index_windows", "linear_index", "read_bam", "references", "register", "splits", "write_bam"]
 
 
 def register(spark: SparkSession) -> None:
@@ -26,6 +27,7 @@ def register(spark: SparkSession) -> None:
 
 def _reader(spark: SparkSession, path, index, splits_, **options):
     register(spark)
+    index = index if index is None or isinstance(index, str) else json.dumps(list(index))
     given = {"index": index, "splits": splits_, "parallelism": spark.sparkContext.defaultParallelism} | options
     if splits_ is not None and int(splits_) < 1:
         raise ValueError("at least one split is needed")
@@ -37,8 +39,11 @@ def _reader(spark: SparkSession, path, index, splits_, **options):
     return reader
 
 
-def read_bam(spark: SparkSession, path: str | list[str], index: str | None = None, splits: int | None = None, columns: list[str] | None = None, full: bool = False, voffset: bool = False) -> DataFrame:
-    """Records of a BAM file, or of several. `columns` are the only ones that are decoded."""
+def read_bam(spark: SparkSession, path: str | list[str], index: str | list[str] | None = None, splits: int | None = None, columns: list[str] | None = None, full: bool = False, voffset: bool = False) -> DataFrame:
+    """Records of a BAM file, of several (with an index each, if any are given), or of a folder of shards.
+
+    `columns` are the only ones that are decoded.
+    """
     reader = _reader(spark, path, index, splits, full=full, voffset=voffset)
     if columns is not None:
         known = from_arrow_schema(arrow_schema(True, True))
@@ -72,16 +77,35 @@ def linear_index(spark: SparkSession, index: str) -> DataFrame:
     return spark.createDataFrame(bai.debug_rows(index), "voffset long, block long, in_block long")
 
 
+def index_windows(spark: SparkSession, index: str) -> DataFrame:
+    """reference_id, window_id, voffset of the windows of an index that some record overlaps."""
+    rows = [(i, w, v) for i, own in enumerate(bai.read_windows(index)) for w, v in enumerate(own) if v]
+    return spark.createDataFrame(rows, "reference_id int, window_id int, voffset long")
+
+
 def splits(spark: SparkSession, path: str, index: str | None = None, most: int | None = None) -> DataFrame:
     """split_id, start_voffset, end_voffset as a read of the file would plan them."""
     rows = [(i, a, b) for i, (a, b) in enumerate(plan_file(path, index, most))]
     return spark.createDataFrame(rows, "split_id int, start_voffset long, end_voffset long")
 
 
-def write_bam(df: DataFrame, path: str, header_from: str | None = None, header: str | None = None, references: list | None = None, overwrite: bool = True, **options: str) -> str:
-    """Write records in the order of the DataFrame's partitions. Columns that are missing are absent values."""
+def in_file_order(records: DataFrame) -> DataFrame:
+    """Adds position: of a record (with voffset and split_id) in its file, from 0. Splits are counted first, then each ordered on its own."""
+    counts = records.groupBy("split_id").agg(F.count("*").alias("n"))
+    before = Window.orderBy("split_id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    starts = counts.select("split_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    local = records.withColumn("place", F.row_number().over(Window.partitionBy("split_id").orderBy("voffset")) - 1)
+    return local.join(F.broadcast(starts), "split_id").withColumn("position", F.col("place") + F.col("start")).drop("place", "start")
+
+
+def write_bam(df: DataFrame, path: str, header_from: str | None = None, header: str | None = None, references: list | None = None, overwrite: bool = True, shards: bool = False, **options: str) -> str:
+    """Write records in the order of the DataFrame's partitions. Columns that are missing are absent values.
+
+    shards: `path` becomes a folder of BAM files, one for each partition, which `read_bam` reads in order; nothing is copied
+    when they are done. Otherwise the parts are joined to one file by one process.
+    """
     register(df.sparkSession)
-    given = {"header_from": header_from, "header": header, "references": None if references is None else json.dumps(references)} | options
+    given = {"shards": "true" if shards else None, "header_from": header_from, "header": header, "references": None if references is None else json.dumps(references)} | options
     writer = df.write.format("bam").mode("overwrite" if overwrite else "append").options(**{k: v for k, v in given.items() if v is not None})
     writer.save(path)
     return path
@@ -110,21 +134,22 @@ for _name, _mask in FLAG_COLUMNS.items():
 
 
 class RecordIterator:
-    """Records in file order. Its length is what is left of it."""
+    """Records in file order. Its length is what is left of it; asking for it counts the file once."""
 
-    def __init__(self, rows: Iterator, total: int):
-        self._rows, self._left = rows, total
+    def __init__(self, rows: Iterator, total: Callable[[], int]):
+        self._rows, self._given = rows, 0
+        self._total = cache(total)
 
     def __iter__(self) -> RecordIterator:
         return self
 
     def __next__(self) -> BamRecord:
         row = next(self._rows)
-        self._left -= 1
+        self._given += 1
         return BamRecord(*row)
 
     def __len__(self) -> int:
-        return self._left
+        return self._total() - self._given
 
 
 class AlignmentFile:
@@ -143,7 +168,7 @@ class AlignmentFile:
     def fetch(self) -> RecordIterator:
         """All records, one partition after the other on the driver; partitions are in file order."""
         rows = self.to_df(columns=[f.name for f in fields(BamRecord)]).toLocalIterator(prefetchPartitions=True)
-        return RecordIterator(iter(rows), self.count(until_eof=True))
+        return RecordIterator(iter(rows), lambda: self.count(until_eof=True))
 
     def __iter__(self) -> RecordIterator:
         return self.fetch()
@@ -158,11 +183,11 @@ class AlignmentFile:
         return f"AlignmentFile({self.path!r})"
 
 
-def sequential_count(path: str) -> tuple[int, int]:
-    """Records and mapped records by one pass over the file on the driver."""
+def sequential_count(path: str, threads: int = 1) -> tuple[int, int]:
+    """Records and mapped records by one pass over the file on the driver; `threads` of them inflate its blocks."""
     with files.open_file(path) as f:
         _, first = bam.read_header(f)
-        return bam.count_records(f, first, None)
+        return bam.count_records(f, first, None, max(1, threads))
 
 
 def block_of(v):

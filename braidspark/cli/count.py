@@ -10,9 +10,13 @@ from pyspark.sql import SparkSession
 from braidspark import api
 
 
+def cores(text: str) -> int:
+    return int(text) if text.isdecimal() else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = argparse.ArgumentParser(prog="count", description=__doc__)
-    args.add_argument("--threads", "-t", type=int, default=0, help="cores, 0 for all")
+    args.add_argument("--threads", "-t", type=cores, default=0, help="cores, 0 (or what is no number) for all")
     args.add_argument("--verbose", "-v", action="store_true")
     args.add_argument("bam")
     args.add_argument("bai", nargs="?")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidspark.api import write_bam
-from braidspark.sources.bai import build_index
+from braidspark.plans.splits import reduce_offsets
+from braidspark.sources import bgzf
+from braidspark.sources.bai import build_index, read_linear_index, write_linear_index
+from braidspark.sources.bam import read_header
+from braidspark.sources.files import create_file, file_size, open_file
 
 REFERENCE_LENGTH = 400_000
 _made: dict[tuple[str, str], str] = {}
@@ -55,9 +60,11 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder that all of the session's processes see: below spark.checkpoint.dir where it is set."""
+    """A folder that all of the session's processes see: spark.checkpoint.dir; where it is unset, a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = spark.conf.get("spark.braidspark.dir", None) or tempfile.mkdtemp(prefix="braidspark-bam-")
         spark.conf.set("spark.braidspark.dir", base)
     return base.removeprefix("file://")
@@ -76,5 +83,43 @@ def bam_of(spark: SparkSession, sf_dir: str) -> str:
     return _made[key]
 
 
+#: Names that are missing, or not UTF-8, in the file of odd names.
+MISSING, BROKEN = "l_orderkey % 10 = 1", "l_orderkey % 10 = 2"
+
+
+def odd_names_of(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a BAM without an index whose names are partly missing and partly not UTF-8, in a folder of shards; made once for each session."""
+    key = sf_dir, "odd", spark.sparkContext.applicationId
+    if key not in _made:
+        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        fields = {name: F.expr(e.format(days=SPARK_DAYS)) for name, e in FIELDS.items()}
+        name = F.when(F.expr(f"{MISSING} or {BROKEN}"), F.lit(None)).otherwise(fields.pop("query_name"))
+        raw = F.when(F.expr(BROKEN), F.unhex(F.lit("52FFFE")))
+        rows = lineitem.select(name.alias("query_name"), raw.alias("raw_name"), *[e.alias(n) for n, e in fields.items()])
+        path = f"{folder(spark)}/odd-{uuid.uuid4().hex}"
+        write_bam(rows.repartition(4), path, references=[[str(i), REFERENCE_LENGTH] for i in range(25)], shards=True)
+        _made[key] = path
+    return _made[key]
+
+
+def repeated(path: str, out: str, times: int) -> str:
+    """A BAM of so many copies of a BAM's records, block by block, with an index of its linear offsets."""
+    with open_file(path) as f:
+        _, first = read_header(f)
+    if bgzf.uoffset_of(first):
+        raise ValueError("the header shares a block with records")
+    start, size = bgzf.coffset_of(first), file_size(path)
+    with open_file(path) as f:
+        head, body = f.read(start), f.read(size - start - len(bgzf.EOF_BLOCK))
+    with create_file(out) as f:
+        f.write(head)
+        for _ in range(times):
+            f.write(body)
+        f.write(bgzf.EOF_BLOCK)
+    offsets = [v for v in reduce_offsets(read_linear_index(f"{path}.bai")) if v >= first]
+    write_linear_index(f"{out}.bai", [v + bgzf.voffset(i * len(body), 0) for i in range(times) for v in offsets])
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(folder(spark), f"{name}-{uuid.uuid4().hex}.bam")

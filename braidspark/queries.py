@@ -1,6 +1,7 @@
 """Queries of the alignment engine over BAM files made from the driver's tables, with their DuckDB SQL.
 
-Every query reads through the ``bam`` data source; the SQL computes the same from the table the file was made of.
+Queries read through the ``bam`` data source, but for `reduce_index` and `index_intervals`, the planner's rules over a table of
+offsets; the SQL computes the same from the table the file was made of.
 """
 
 from __future__ import annotations
@@ -129,9 +130,65 @@ def references(spark, sf_dir):
     return api.references(spark, fixtures.bam_of(spark, sf_dir))
 
 
-def first_in_file_order(spark, sf_dir):
-    rows = _read(spark, sf_dir, [*EIGHT, "voffset"], voffset=True)
-    return rows.orderBy("voffset").limit(100).drop("voffset")
+def in_file_order(spark, sf_dir):
+    """Every record with its position in the file, from 0."""
+    rows = _read(spark, sf_dir, [*EIGHT, "voffset", "split_id"], voffset=True)
+    return api.in_file_order(rows).drop("voffset", "split_id")
+
+
+def linear_index(spark, sf_dir):
+    """The record that each window of the BAI's linear index names."""
+    windows = api.index_windows(spark, f"{fixtures.bam_of(spark, sf_dir)}.bai")
+    rows = _read(spark, sf_dir, ["query_name", "reference_start", "voffset"], voffset=True)
+    return rows.join(windows, "voffset").select("reference_id", "window_id", "query_name", "reference_start")
+
+
+def interval_counts(spark, sf_dir):
+    """Every interval of the BAI as a split of its own: its count against the records whose virtual offsets lie in it."""
+    path = fixtures.bam_of(spark, sf_dir)
+    plan = api.splits(spark, path, most=1 << 30)
+    counts = api.count_by_split(spark, path, splits=1 << 30)
+    rows = _read(spark, sf_dir, ["voffset"], voffset=True, splits=1)
+    # a file's intervals, at most some 10,000 of three numbers
+    inside = rows.join(F.broadcast(plan), (F.col("voffset") >= F.col("start_voffset")) & (F.col("voffset") < F.col("end_voffset")))
+    found = inside.groupBy("split_id").agg(F.count("*").alias("found"))
+    both = counts.join(found, "split_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.agg(F.sum("records").alias("n"), F.sum("found").alias("n_found"), F.count_if(F.col("records") != F.col("found")).alias("n_differ"))
+
+
+def odd_names(spark, sf_dir):
+    """Records of a folder of BAM files whose names are partly missing or not UTF-8."""
+    return api.read_bam(spark, fixtures.odd_names_of(spark, sf_dir), columns=EIGHT)
+
+
+def odd_names_identity(spark, sf_dir):
+    """Names that are no text survive a rewrite byte by byte."""
+    out = fixtures.scratch(spark, "odd-copy")
+    source = fixtures.odd_names_of(spark, sf_dir)
+    api.write_bam(api.read_bam(spark, source, full=True), out, references=[[str(i), fixtures.REFERENCE_LENGTH] for i in range(25)])
+    rows = api.read_bam(spark, out, columns=["query_name", "raw_name", "flag"], full=True)
+    return rows.where("query_name is null").groupBy(F.hex("raw_name").alias("raw_name")).agg(F.count("*").alias("n"), F.sum("flag").alias("flags"))
+
+
+def sharded_copy(spark, sf_dir):
+    """A rewrite to a folder of BAM files, and back."""
+    out = fixtures.scratch(spark, "shards")
+    source = fixtures.bam_of(spark, sf_dir)
+    api.write_bam(api.read_bam(spark, source, full=True), out, header_from=source, shards=True)
+    return api.read_bam(spark, out, columns=EIGHT)
+
+
+def sequential_count(spark, sf_dir):
+    n, mapped = api.sequential_count(fixtures.bam_of(spark, sf_dir), threads=4)
+    return spark.createDataFrame([(n, mapped)], "n long, n_mapped long")
+
+
+def handle_counts(spark, sf_dir):
+    """A handle's counts, its iterator's length, and a pass over its records."""
+    with api.AlignmentFile(spark, fixtures.bam_of(spark, sf_dir)) as f:
+        reads = iter(f)
+        row = f.count(until_eof=True), f.count(), len(reads), sum(r.flag for r in reads), len(reads)
+    return spark.createDataFrame([row], "n long, n_mapped long, n_iterator long, flags long, n_left long")
 
 
 def multi_file_union(spark, sf_dir):
@@ -162,7 +219,14 @@ QUERIES = {
         index_intervals,
         split_record_counts,
         references,
-        first_in_file_order,
+        in_file_order,
+        linear_index,
+        interval_counts,
+        odd_names,
+        odd_names_identity,
+        sharded_copy,
+        sequential_count,
+        handle_counts,
         multi_file_union,
     )
 } | {f"count_by_splits_{n}": _by_splits(n) for n in (1, 2, 7, 64)}
@@ -196,6 +260,18 @@ ORACLES: dict[str, str] = {
     "index_intervals": _OFFSETS + "SELECT * FROM (SELECT voffset AS start_voffset, lead(voffset) OVER (ORDER BY voffset) AS end_voffset FROM r) WHERE end_voffset IS NOT NULL",
     "split_record_counts": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_missing FROM lineitem",
     "references": f"SELECT n_nationkey AS reference_id, n_name AS name, CAST({fixtures.REFERENCE_LENGTH} AS INT) AS length FROM nation",
-    "first_in_file_order": _A + f"SELECT {_E} FROM a ORDER BY reference_id NULLS LAST, reference_start, query_name LIMIT 100",
+    "in_file_order": _A + f"SELECT {_E}, row_number() OVER (ORDER BY reference_id NULLS LAST, reference_start, query_name) - 1 AS position FROM a",
+    "linear_index": _A
+    + f"""SELECT reference_id, CAST(w AS INT) AS window_id, arg_min(query_name, {{s: reference_start, q: query_name}}) AS query_name, min(reference_start) AS reference_start
+FROM (SELECT *, unnest(range(reference_start // 16384, (reference_start + CASE WHEN cigarstring = '*' THEN 1 ELSE CAST(replace(cigarstring, 'M', '') AS INT) END - 1) // 16384 + 1)) AS w FROM a WHERE reference_id IS NOT NULL)
+GROUP BY reference_id, w""",
+    "interval_counts": "SELECT count(*) AS n, count(*) AS n_found, CAST(0 AS BIGINT) AS n_differ FROM lineitem",
+    "odd_names": f"WITH a AS (SELECT * FROM ({fixtures.alignments_sql(fixtures.DUCKDB_DAYS).replace(' FROM lineitem', f', {fixtures.MISSING} OR {fixtures.BROKEN} AS odd FROM lineitem')})) SELECT CASE WHEN NOT odd THEN query_name END AS query_name, "
+    + ", ".join(EIGHT[1:])
+    + " FROM a",
+    "odd_names_identity": f"WITH a AS (SELECT * FROM ({fixtures.alignments_sql(fixtures.DUCKDB_DAYS).replace(' FROM lineitem', f", CASE WHEN {fixtures.MISSING} THEN '2A' WHEN {fixtures.BROKEN} THEN '52FFFE' END AS raw_name FROM lineitem")})) SELECT raw_name, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags FROM a WHERE raw_name IS NOT NULL GROUP BY raw_name",
+    "sharded_copy": _A + f"SELECT {_E} FROM a",
+    "sequential_count": _A + f"SELECT count(*) AS n, count(*) FILTER (NOT {_UNMAPPED}) AS n_mapped FROM a",
+    "handle_counts": _A + f"SELECT count(*) AS n, count(*) FILTER (NOT {_UNMAPPED}) AS n_mapped, count(*) AS n_iterator, CAST(sum(flag) AS BIGINT) AS flags, CAST(0 AS BIGINT) AS n_left FROM a",
     "multi_file_union": _A + "SELECT reference_id, 2 * count(*) AS n FROM a GROUP BY reference_id",
 } | {f"count_by_splits_{n}": _A + f"SELECT count(*) AS n, count(*) FILTER (NOT {_UNMAPPED}) AS n_mapped FROM a" for n in (1, 2, 7, 64)}

@@ -15,6 +15,18 @@ WINDOW = 14
 
 def read_linear_index(path: str) -> list[int]:
     """Virtual offsets of all references' linear indexes: repeats that follow each other dropped, then sorted."""
+    found = [v for own in read_windows(path) for v in own]
+    return sorted(v for i, v in enumerate(found) if i == 0 or v != found[i - 1])
+
+
+def write_linear_index(path: str, offsets: list[int]) -> None:
+    """An index of one reference without bins, for split planning alone."""
+    with create_file(path) as f:
+        f.write(MAGIC + struct.pack(f"<3i{len(offsets)}Q", 1, 0, len(offsets), *offsets))
+
+
+def read_windows(path: str) -> list[tuple[int, ...]]:
+    """The linear index of each reference: the virtual offset of the first record that overlaps each window of 2^14 bases, 0 if none does."""
     with open_file(path) as f:
         data = f.read()
     if data[:4] != MAGIC:
@@ -28,11 +40,11 @@ def read_linear_index(path: str) -> list[int]:
                 (n_chunk,) = struct.unpack_from("<i", data, at + 4)
                 at += 8 + 16 * n_chunk
             (n_window,) = struct.unpack_from("<i", data, at)
-            found += struct.unpack_from(f"<{n_window}Q", data, at + 4)
+            found.append(struct.unpack_from(f"<{n_window}Q", data, at + 4))
             at += 4 + 8 * n_window
     except struct.error:
         raise ValueError(f"{path} is cut short") from None
-    return sorted(v for i, v in enumerate(found) if i == 0 or v != found[i - 1])
+    return found
 
 
 def build_index(bam_path: str, bai_path: str | None = None) -> str:

@@ -21,6 +21,10 @@ FIXED = np.dtype(
     [("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4")]
 )
 BATCH_BYTES = 8 << 20
+#: For counts: the more blocks at once, the fewer steps a record.
+COUNT_BYTES = 32 << 20
+#: So many blocks at least are walked at once.
+LANES = 16
 
 CORE = [
     ("query_name", pa.string()),
@@ -92,58 +96,104 @@ def read_header(file) -> tuple[Header, int]:
 
 @dataclass
 class Chunk:
-    """Whole records in a buffer: where they begin, and their virtual offsets."""
+    """Whole records in a buffer: where they begin, and where its blocks do, here and in the file."""
 
     data: bytes
     at: np.ndarray
-    voffsets: np.ndarray
+    blocks: np.ndarray
+    coffsets: np.ndarray
 
+    @property
+    def voffsets(self) -> np.ndarray:
+        return bgzf.positions(self.blocks, self.coffsets, self.at)
 
-def scan(file, start: int, end: int | None, batch_bytes: int = BATCH_BYTES) -> Iterator[Chunk]:
+    def of(self, rows: np.ndarray) -> Chunk:
+        """The chunk with some of its records."""
+        return Chunk(self.data, self.at[rows], self.blocks, self.coffsets)
+
+
+def _record_starts(data: bytes, first: int, blocks: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where the whole records of a buffer begin, and the place behind the last; `blocks` begin at these places.
+
+    Writers mostly begin a block with a record. Where the first block's records end with it, all blocks are walked at once,
+    a record of each in a step; each block whose walk ends where the next begins vouches for that one. From a
+    block that does not, and in other files, records are walked one by one.
+    """
+    unpack, n = struct.Struct("<i").unpack_from, len(data)
+
+    def walk(pos: int, until: int) -> tuple[list[int], int]:
+        at: list[int] = []
+        note, last = at.append, min(n - 4, until - 1)
+        while pos <= last:
+            size = unpack(data, pos)[0]
+            after = pos + 4 + size
+            if after > n:
+                break
+            if size < 32:
+                raise ValueError("a record is shorter than its fixed fields")
+            note(pos)
+            pos = after
+        return at, pos
+
+    found, pos, lane = [], first, int(np.searchsorted(blocks, first, side="right"))
+    if len(blocks) - lane >= LANES:
+        at, pos = walk(first, int(blocks[lane]))
+        found.append(np.array(at, np.int64))
+        if pos == blocks[lane]:
+            begins, ends = blocks[lane:], np.append(blocks[lane + 1 :], n)
+            sizes = np.ndarray((n - 3,), "<u4", data, 0, (1,))
+            at, steps = begins, []
+            alive = np.minimum(ends, n - 3)
+            while True:
+                going = at < alive
+                if not going.any():
+                    break
+                steps.append(np.where(going, at, n))
+                at = np.where(going, at + 4 + sizes[np.minimum(at, n - 4)], at)
+            places = np.concatenate(steps).reshape(-1, len(begins))
+            # a block is as its walk has found it if that ends where the next begins; odd sizes end elsewhere
+            bad = np.flatnonzero((at != ends) | (np.where(places < n, sizes[np.minimum(places, n - 4)], 32) < 32).any(axis=0))
+            sound = int(bad[0]) if len(bad) else len(begins)
+            own = places[:, :sound].T.ravel()
+            found.append(own[own < n])
+            pos = int(ends[sound - 1]) if sound else pos
+    at, pos = walk(pos, n)
+    return np.concatenate([*found, np.array(at, np.int64)]), pos
+
+
+def scan(file, start: int, end: int | None, batch_bytes: int = BATCH_BYTES, threads: int = 1) -> Iterator[Chunk]:
     """Records whose start lies in [start, end) of virtual offsets, read on past `end` to the last one's end.
 
     A file that ends before a record's length ends the scan; one that ends inside a record is an error.
     """
-    unpack = struct.Struct("<i").unpack_from
-    data, starts, coffsets = bytearray(), [], []
+    held, starts, coffsets, length = [], [], [], 0
     skip, done = bgzf.uoffset_of(start), False
-    source = bgzf.blocks(file, bgzf.coffset_of(start))
+    source = bgzf.blocks(file, bgzf.coffset_of(start), threads=threads)
     while not done:
-        while len(data) < batch_bytes:
+        while length < batch_bytes:
             found = next(source, None)
             if found is None:
                 done = True
                 break
-            starts.append(len(data))
+            starts.append(length)
             coffsets.append(found[0])
-            data += found[1]
+            held.append(found[1])
+            length += len(found[1])
             # the blocks behind the one that `end` lies in only finish the last record
             if end is not None and found[0] > bgzf.coffset_of(end):
                 break
-        at, n, pos = [], len(data), skip
-        frozen = bytes(data)  # quicker to unpack from, and the chunk's buffer
-        note, last = at.append, n - 4
-        while pos <= last:
-            size = unpack(frozen, pos)[0]
-            after = pos + 4 + size
-            if after > n:
-                break
-            if size < 32:
-                raise ValueError("a record is shorter than its fixed fields")
-            note(pos)
-            pos = after
-        places = np.array([*at, pos], np.int64)
+        frozen, n = b"".join(held), length
         s, c = np.array(starts, np.int64), np.array(coffsets, np.int64)
-        v = bgzf.positions(s, c, places) if len(s) else np.full(len(places), start, np.int64)
+        at, pos = _record_starts(frozen, skip, s)
+        last = bgzf.positions(s, c, np.array([pos]))[0] if len(s) else start
         reached_end = False
         if end is not None and len(s):
-            inside = int(np.searchsorted(v[:-1], end))
-            reached_end = inside < len(at) or (pos < n and v[-1] >= end) or (pos >= n and c[-1] >= bgzf.coffset_of(end) and v[-1] >= end)
-            at, v = at[:inside], v[:inside]
-        else:
-            v = v[:-1]
+            # places grow with virtual offsets: a bound of the last block's is enough where it lies before the end
+            inside = len(at) if last < end else int(np.searchsorted(bgzf.positions(s, c, at), end))
+            reached_end = inside < len(at) or (pos < n and last >= end) or (pos >= n and c[-1] >= bgzf.coffset_of(end) and last >= end)
+            at = at[:inside]
         if len(at):
-            yield Chunk(frozen, np.array(at, np.int64), v)
+            yield Chunk(frozen, at, s, c)
         if reached_end:
             return
         if done:
@@ -154,18 +204,18 @@ def scan(file, start: int, end: int | None, batch_bytes: int = BATCH_BYTES) -> I
         keep = int(np.searchsorted(s, min(pos, n - 1), side="right")) - 1 if n else 0
         base = starts[keep] if starts else 0
         if pos >= n and n:
-            data, starts, coffsets, skip = bytearray(), [], [], 0
+            held, starts, coffsets, skip, length = [], [], [], 0, 0
         elif n:
-            data, skip = data[base:], pos - base
+            held, skip, length = [frozen[base:]], pos - base, n - base
             starts, coffsets = [x - base for x in starts[keep:]], coffsets[keep:]
-        if n - pos > 0 and len(data) >= batch_bytes:
+        if n - pos > 0 and length >= batch_bytes:
             batch_bytes *= 2  # one record is larger than a batch
 
 
-def count_records(file, start: int, end: int | None) -> tuple[int, int]:
+def count_records(file, start: int, end: int | None, threads: int = 1) -> tuple[int, int]:
     """Records, and mapped ones, in a range: only lengths and flags are looked at."""
     total = mapped = 0
-    for chunk in scan(file, start, end):
+    for chunk in scan(file, start, end, COUNT_BYTES, threads):
         total += len(chunk.at)
         low = np.frombuffer(chunk.data, np.uint8)[chunk.at + 18]
         mapped += int(((low & 4) == 0).sum())
@@ -382,9 +432,14 @@ def _bins(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def encode_batch(batch: pa.RecordBatch) -> bytes:
     """Records of a batch, as `encode_record` encodes each row."""
+    return encode_records(batch)[0]
+
+
+def encode_records(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+    """Records of a batch, and where each one ends."""
     n, names = batch.num_rows, set(batch.schema.names)
     if not n:
-        return b""
+        return b"", np.empty(0, np.int64)
 
     def number(name: str, absent: int) -> np.ndarray:
         if name not in names:
@@ -403,7 +458,8 @@ def encode_batch(batch: pa.RecordBatch) -> bytes:
     cigars = pc.fill_null(text("cigarstring").cast(pa.string()), "*").dictionary_encode()
     parsed = [parse_cigar(c or "*") for c in cigars.dictionary.to_pylist()]
     if any(len(ops) > 65535 for ops in parsed):
-        return b"".join(encode_record(r) for r in batch.to_pylist())
+        own = [encode_record(r) for r in batch.to_pylist()]
+        return b"".join(own), np.cumsum([len(r) for r in own])
     which = cigars.indices.to_numpy()
     ops_each = np.array([len(p) for p in parsed], np.int64)
     words = np.array([op for p in parsed for op in p], "<u4")
@@ -447,4 +503,4 @@ def encode_batch(batch: pa.RecordBatch) -> bytes:
         if data is not None:
             out[_flat(at, lengths)] = data
         at = at + lengths
-    return out.tobytes()
+    return out.tobytes(), np.cumsum(sizes + 4)

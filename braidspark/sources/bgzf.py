@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import struct
+import threading
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
@@ -13,6 +18,8 @@ EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000
 #: Most bytes that a writer puts in a block.
 PAYLOAD = 0xFF00
 READ_BYTES = 4 << 20
+#: Deflate data grows no more than so many times.
+MOST_FOLD = 1032
 MAX_COFFSET = (1 << 48) - 1
 
 
@@ -46,11 +53,51 @@ def block_size(data: bytes | memoryview, at: int) -> int | None:
     raise ValueError(f"block at byte {at} has no size")
 
 
-def inflate_block(block: bytes | memoryview) -> bytes:
+class _Deflate:
+    """The system's libdeflate, where there is one: two to three times as fast as zlib, with the same results."""
+
+    def __init__(self):
+        lib = ctypes.CDLL(ctypes.util.find_library("deflate") or "libdeflate.so.0")
+        lib.libdeflate_alloc_decompressor.restype = ctypes.c_void_p
+        lib.libdeflate_deflate_decompress.argtypes = [ctypes.c_void_p, ctypes.c_void_p, ctypes.c_size_t, ctypes.c_void_p, ctypes.c_size_t, ctypes.c_void_p]
+        lib.libdeflate_crc32.argtypes = [ctypes.c_uint32, ctypes.c_void_p, ctypes.c_size_t]
+        lib.libdeflate_crc32.restype = ctypes.c_uint32
+        self.lib, self.local = lib, threading.local()
+
+    def inflate(self, body: np.ndarray, size: int, crc: int) -> bytearray | None:
+        """The data of a deflate stream; None if it does not fit its size and checksum."""
+        if not hasattr(self.local, "own"):
+            self.local.own = self.lib.libdeflate_alloc_decompressor()
+        out = bytearray(size)
+        at = (ctypes.c_char * size).from_buffer(out) if size else None
+        # without a place for the true size, any other size is an error
+        if self.lib.libdeflate_deflate_decompress(self.local.own, body.ctypes.data, len(body), at, size, None):
+            return None
+        return out if self.lib.libdeflate_crc32(0, at, size) == crc else None
+
+
+def _deflate() -> _Deflate | None:
+    try:
+        return _Deflate()
+    except (OSError, AttributeError):
+        return None
+
+
+_DEFLATE = _deflate()
+
+
+def inflate_block(block: bytes | memoryview) -> bytes | bytearray:
     (extra,) = struct.unpack_from("<H", block, 10)
     crc, size = struct.unpack_from("<II", block, len(block) - 8)
-    data = zlib.decompress(block[12 + extra : len(block) - 8], -15)
-    if len(data) != size or zlib.crc32(data) != crc:
+    body = block[12 + extra : len(block) - 8]
+    if size > MOST_FOLD * (len(body) + 1):
+        raise ValueError(f"a BGZF block of {len(body)} bytes cannot hold {size}")
+    if _DEFLATE:
+        data = _DEFLATE.inflate(np.frombuffer(body, np.uint8), size, crc)
+    else:
+        data = zlib.decompress(body, -15, max(size, 1))
+        data = data if len(data) == size and zlib.crc32(data) == crc else None
+    if data is None:
         raise ValueError("a BGZF block's checksum or size does not fit its data")
     return data
 
@@ -62,8 +109,28 @@ def deflate_block(data: bytes | memoryview, level: int = 6) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def blocks(file, coffset: int, read_bytes: int = READ_BYTES) -> Iterator[tuple[int, bytes]]:
-    """(offset, data) of the blocks from `coffset` to the end of the file. A file may end after any block."""
+def blocks(file, coffset: int, read_bytes: int = READ_BYTES, threads: int = 1) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of the blocks from `coffset` to the end of the file. A file may end after any block.
+
+    threads: how many inflate blocks at once, ahead of the reader.
+    """
+    if threads > 1:
+        with ThreadPoolExecutor(threads) as pool:
+            pending = deque()
+            for at, block in packed_blocks(file, coffset, read_bytes):
+                pending.append((at, pool.submit(inflate_block, block)))
+                if len(pending) >= 16 * threads:
+                    at, done = pending.popleft()
+                    yield at, done.result()
+            for at, done in pending:
+                yield at, done.result()
+        return
+    for at, block in packed_blocks(file, coffset, read_bytes):
+        yield at, inflate_block(block)
+
+
+def packed_blocks(file, coffset: int, read_bytes: int = READ_BYTES) -> Iterator[tuple[int, memoryview]]:
+    """(offset, block) from `coffset` to the end of the file, not inflated."""
     file.seek(coffset)
     data, at = b"", 0
     while True:
@@ -76,7 +143,7 @@ def blocks(file, coffset: int, read_bytes: int = READ_BYTES) -> Iterator[tuple[i
                 return
             data, at = data[at:] + more, 0
             continue
-        yield coffset, inflate_block(memoryview(data)[at : at + size])
+        yield coffset, memoryview(data)[at : at + size]
         at += size
         coffset += size
 
@@ -96,6 +163,24 @@ class BlockWriter:
         while len(self.pending) >= self.payload:
             self._put(self.payload)
 
+    def write_records(self, data: bytes, ends: np.ndarray) -> None:
+        """Write records that end at `ends`, each block with whole ones, but for those that no block can hold."""
+        view, start = memoryview(data), 0
+        while start < len(data):
+            room = start + self.payload - len(self.pending)
+            fit = int(np.searchsorted(ends, room, side="right"))
+            end = int(ends[fit - 1]) if fit else 0
+            if end > start:
+                self.write(view[start:end])
+                start = end
+            elif self.pending:
+                self.cut()
+            else:
+                end = int(ends[fit])
+                self.write(view[start:end])
+                self.cut()
+                start = end
+
     def _put(self, n: int) -> None:
         block = deflate_block(bytes(self.pending[:n]), self.level)
         self.file.write(block)

@@ -1,18 +1,18 @@
 """The Spark data source ``bam``: index-planned splits, Arrow batches, an ordered writer, and a stream of new files.
 
-Read options: ``path`` (one file or several, comma-separated), ``index`` (default ``<path>.bai`` where it exists),
+Read options: ``path`` (a file, a folder of shards, or a JSON list of such), ``index`` (default ``<path>.bai`` where it exists; of
+several files a JSON list of one for each),
 ``splits`` (per file; default: one for each SPLIT_BYTES, and ``parallelism`` of them where that leaves SMALL_BYTES each), ``full`` (adds mate, bin, qualities, tags
 and raw names), ``voffset`` (adds voffset and split_id), ``mode`` = ``count`` (one row of counts for each split).
 A schema given by the user is the set of columns to decode: Spark does not prune columns of Python sources.
 
-Write options: ``path`` (the BAM file), ``header_from`` (a BAM whose header is kept) or ``header`` (SAM text) with
+Write options: ``path`` (the BAM file, or with ``shards`` = ``true`` a folder of BAM files, one for each partition), ``header_from`` (a BAM whose header is kept) or ``header`` (SAM text) with
 ``references`` (JSON list of [name, length]).
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 from dataclasses import dataclass
@@ -45,6 +45,7 @@ from braidspark.sources import bai, bam, bgzf, files
 
 SPLIT_BYTES = 32 << 20
 SMALL_BYTES = 256 << 10
+SHARD = re.compile(r"part-\d{5,}\.bam")
 COUNTS = pa.schema([("split_id", pa.int32()), ("records", pa.int64()), ("mapped", pa.int64())])
 
 
@@ -123,7 +124,7 @@ class _Decoder:
                         m = _mask(own, batch)
                         keep = m if keep is None else pa.compute.and_kleene(keep, m)
                     rows = pa.compute.fill_null(keep, False).to_numpy(zero_copy_only=False)
-                    chunk = bam.Chunk(chunk.data, chunk.at[rows], chunk.voffsets[rows])
+                    chunk = chunk.of(rows)
                 if len(chunk.at):
                     yield bam.decode(chunk, self.columns, split.split_id)
 
@@ -140,9 +141,12 @@ class BamReader(DataSourceReader):
 
     def partitions(self):
         most = self.options.get("splits")
-        found = []
-        for path in paths_of(self.options):
-            found += [(path, a, b) for a, b in plan_file(path, self.options.get("index"), None if most is None else int(most), int(self.options.get("parallelism", 1)))]
+        paths, found = paths_of(self.options), []
+        indexes = list_of(self.options["index"]) if "index" in self.options else [None] * len(paths)
+        if len(indexes) != len(paths):
+            raise ValueError(f"{len(indexes)} indexes for {len(paths)} files")
+        for path, index in zip(paths, indexes):
+            found += [(path, a, b) for a, b in plan_file(path, index, None if most is None else int(most), int(self.options.get("parallelism", 1)))]
         return [Split(path, i, a, b) for i, (path, a, b) in enumerate(found)]
 
     def read(self, split: Split):
@@ -154,11 +158,18 @@ class BamReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([split.split_id], pa.int32()), pa.array([total], pa.int64()), pa.array([mapped], pa.int64())], schema=COUNTS)
 
 
+def list_of(text: str) -> list[str]:
+    return json.loads(text) if text.startswith("[") else [text]
+
+
 def paths_of(options: dict) -> list[str]:
+    """The files that a path names, those of a folder of shards in their order."""
     if "path" not in options:
         raise ValueError("the option path is missing")
-    text = options["path"]
-    return json.loads(text) if text.startswith("[") else [text]
+    found = []
+    for path in list_of(options["path"]):
+        found += [f"{path}/{x}" for x in files.names_in(path) if SHARD.fullmatch(x)] if files.is_folder(path) else [path]
+    return found
 
 
 def flag_of(options: dict, name: str) -> bool:
@@ -176,11 +187,12 @@ class BamWriter(DataSourceArrowWriter):
     """Tasks write header-less BGZF parts beside the target; the commit joins them in order of partitions.
 
     A part's name is unique to its attempt, only committed parts are joined, and the file appears under its name when it is
-    whole. Parts and the target must be in one file system that driver and executors share.
+    whole. Parts and the target must be in one file system that driver and executors share. With ``shards`` the parts are
+    whole BAM files, and the commit only names them: part-00000.bam and so on, in order of partitions.
     """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.target = paths_of(options)[0]
+        self.target, self.shards = list_of(options["path"])[0].rstrip("/"), flag_of(options, "shards")
         if not overwrite and files.exists(self.target):
             raise FileExistsError(self.target)
         if "header_from" in options:
@@ -199,17 +211,26 @@ class BamWriter(DataSourceArrowWriter):
         limit = len(self.header.references)
         with files.create_file(path) as f:
             out = bgzf.BlockWriter(f, self.payload)
+            if self.shards:
+                out.write(self.header.encode())
+                out.cut()
             for batch in iterator:
                 for name in {"reference_id", "next_reference_id"} & set(batch.schema.names):
                     most = pa.compute.max(batch.column(name)).as_py()
                     if most is not None and most >= limit:
                         raise ValueError(f"{name} {most} is not in the header")
-                out.write(bam.encode_batch(batch))
+                out.write_records(*bam.encode_records(batch))
                 n += batch.num_rows
-            out.finish(eof=False)
+            out.finish(eof=self.shards)
         return Part(partition, path, n)
 
     def commit(self, messages):
+        if self.shards:
+            files.remove(self.target)
+            for i, part in enumerate(sorted((m for m in messages if m is not None), key=lambda m: m.partition)):
+                files.rename(part.path, f"{self.target}/part-{i:05d}.bam")
+            files.remove(self.parts)
+            return
         done = f"{self.parts}-whole"
         with files.create_file(done) as f:
             head = bgzf.BlockWriter(f, self.payload)
@@ -220,6 +241,8 @@ class BamWriter(DataSourceArrowWriter):
                     while data := own.read(bgzf.READ_BYTES):
                         f.write(data)
             f.write(bgzf.EOF_BLOCK)
+        if files.is_folder(self.target):
+            files.remove(self.target)
         files.rename(done, self.target)
         files.remove(self.parts)
 
@@ -231,11 +254,11 @@ class BamStreamReader(DataSourceStreamReader):
     """Batches of BAM files that appear in a folder, each file once, in order of name."""
 
     def __init__(self, options: dict, schema: StructType):
-        self.folder, self.decoder = files.local(paths_of(options)[0]), _Decoder(schema)
+        self.folder, self.decoder = list_of(options["path"])[0].rstrip("/"), _Decoder(schema)
         self.most = options.get("splits")
 
     def _names(self) -> list[str]:
-        return sorted(x for x in os.listdir(self.folder) if re.search(r"\.bam$", x))
+        return [x for x in files.names_in(self.folder) if x.endswith(".bam")]
 
     def initialOffset(self):
         return {"after": ""}
@@ -247,7 +270,7 @@ class BamStreamReader(DataSourceStreamReader):
         found = []
         for name in self._names():
             if start["after"] < name <= end["after"]:
-                path = os.path.join(self.folder, name)
+                path = f"{self.folder}/{name}"
                 found += [(path, a, b) for a, b in plan_file(path, None, None if self.most is None else int(self.most))]
         return [Split(path, i, a, b) for i, (path, a, b) in enumerate(found)]
 

@@ -51,6 +51,23 @@ def exists(path: str) -> bool:
     return system.get_file_info(name).type.name != "NotFound"
 
 
+def is_folder(path: str) -> bool:
+    if is_local(path):
+        return os.path.isdir(local(path))
+    system, name = _remote(path)
+    return system.get_file_info(name).type.name == "Directory"
+
+
+def names_in(folder: str) -> list[str]:
+    """Names of the files of a folder, in order."""
+    if is_local(folder):
+        return sorted(x.name for x in os.scandir(local(folder)) if x.is_file())
+    from pyarrow import fs
+
+    system, name = _remote(folder)
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(name)) if x.is_file)
+
+
 def remove(path: str) -> None:
     if is_local(path):
         if os.path.isdir(local(path)):
@@ -69,6 +86,7 @@ def remove(path: str) -> None:
 
 def rename(old: str, new: str) -> None:
     if is_local(old):
+        os.makedirs(os.path.dirname(local(new)) or ".", exist_ok=True)
         os.replace(local(old), local(new))
         return
     system, name = _remote(old)

@@ -166,3 +166,33 @@ def test_bad_files(tmp_path):
     (tmp_path / "x.bai").write_bytes(b"BAI\1" + struct.pack("<i", 3))
     with pytest.raises(ValueError):
         bai.read_linear_index(str(tmp_path / "x.bai"))
+
+
+@pytest.mark.parametrize("payload", [64, 700, bgzf.PAYLOAD])
+@pytest.mark.parametrize("aligned", [True, False])
+def test_all_blocks_walked_at_once(payload, aligned):
+    rng = np.random.default_rng(payload)
+    records = [struct.pack("<i", n) + bytes(n) for n in rng.integers(32, 300, 3000).tolist()]
+    data, ends = b"".join(records), np.cumsum([len(r) for r in records])
+    out = io.BytesIO()
+    writer = bgzf.BlockWriter(out, payload)
+    writer.write_records(data, ends) if aligned else writer.write(data)
+    writer.finish()
+    got = [x for c in bam.scan(io.BytesIO(out.getvalue()), 0, None, 100_000) for x in c.voffsets.tolist()]
+    blocks = list(bgzf.blocks(io.BytesIO(out.getvalue()), 0))
+    assert blocks == list(bgzf.blocks(io.BytesIO(out.getvalue()), 0, threads=3)) and b"".join(b for _, b in blocks) == data
+    begins = np.concatenate([[0], np.cumsum([len(b) for _, b in blocks])[:-1]])
+    assert got == bgzf.positions(begins, np.array([c for c, _ in blocks]), np.concatenate([[0], ends[:-1]])).tolist()
+
+
+def test_zlib_and_libdeflate_agree(monkeypatch):
+    for n in (0, 1, 5000, 65536):
+        block = bgzf.deflate_block(bytes(np.random.default_rng(n).integers(0, 9, n).astype(np.uint8)))
+        broken = block[:-5] + bytes([block[-5] ^ 1]) + block[-4:]
+        found = []
+        for own in (bgzf._deflate(), None):
+            monkeypatch.setattr(bgzf, "_DEFLATE", own)
+            found.append(bytes(bgzf.inflate_block(block)))
+            with pytest.raises(ValueError):
+                bgzf.inflate_block(broken)
+        assert found[0] == found[1] and len(found[0]) == n

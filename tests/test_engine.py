@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_codec import make_file
 
 import __spark_entry__ as entry
-from braidspark import api, queries
+from braidspark import api, fixtures, queries
 from braidspark.cli import count as count_cli
 from braidspark.cli import deidentify as deidentify_cli
 from braidspark.functions.flags import FLAG_COLUMNS, has_flag
@@ -162,3 +162,45 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(queries.ORACLES) == set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shards_are_whole_files_in_order(spark, small, tmp_path):
+    path, rows = small
+    out = str(tmp_path / "shards")
+    df = api.read_bam(spark, path, splits=3, full=True)
+    api.write_bam(df, out, header_from=path, shards=True)
+    names = files.names_in(out)
+    assert names == [f"part-{i:05d}.bam" for i in range(df.rdd.getNumPartitions())]
+    assert sum(api.sequential_count(f"{out}/{n}")[0] for n in names) == len(rows)
+    got = api.read_bam(spark, out, full=True, voffset=True).orderBy("split_id", "voffset").drop("voffset", "split_id")
+    assert [r.asDict() for r in got.collect()] == plain(path)
+    # again, with fewer parts: none of the old stay
+    api.write_bam(df.coalesce(1), out, header_from=path, shards=True)
+    assert files.names_in(out) == ["part-00000.bam"]
+    api.write_bam(df, out, header_from=path)
+    assert plain(out) == plain(path)
+
+
+def test_an_index_for_each_file(spark, small, tmp_path):
+    path, rows = small
+    copy = str(tmp_path / "copy.bam")
+    open(copy, "wb").write(open(path, "rb").read())
+    with pytest.raises(PySparkException):
+        api.read_bam(spark, [path, copy], path + ".bai", columns=["flag"]).count()
+    assert api.read_bam(spark, [path, copy], [path + ".bai", path + ".bai"], columns=["flag"]).count() == 2 * len(rows)
+
+
+def test_positions_in_file_order(spark, small):
+    path, rows = small
+    got = api.in_file_order(api.read_bam(spark, path, splits=4, voffset=True)).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows))) and [r.query_name for r in got] == [r["query_name"] for r in rows]
+
+
+def test_repeated_file(spark, sf, tmp_path):
+    path = fixtures.bam_of(spark, sf)
+    out = fixtures.repeated(path, str(tmp_path / "many.bam"), 5)
+    n, mapped = api.sequential_count(path)
+    assert api.sequential_count(out, threads=3) == (5 * n, 5 * mapped)
+    for splits in (1, 8, 100):
+        assert api.count(spark, out, until_eof=True, splits=splits) == 5 * n
+    assert api.splits(spark, out, most=8).count() == 8

@@ -1,147 +1,160 @@
-"""python -m braidspark.cli.sweep BAM [BAI] [--config FILE.toml] [--threads 1,2,0] [--repeats N] [--tag NAME] [--csv FILE]
-
-Counts all records with our engine at several thread counts and with the sequential reader, best of N, and prints a row each:
-tool, threads, seconds, MiB of compressed file per second, records. A tool that fails gives an error row and the sweep goes
-on; counts that differ make the exit status 1. 0 threads stands for all cores. The TOML file may hold `threads`, `repeats`,
-`drop_caches` and a table `tools` of own thread lists; a file that is missing counts as empty.
+"""python -m braidspark.cli.sweep BAM [BAI] [--config FILE.toml] [--threads 1,2,0] [--repeats N] [--cold] [--tag NAME | --tags A,B] [--csv FILE]
+
+Times the count of all records, by this engine at several thread counts and by the sequential reader. The trials of a sweep go
+round by round, so that a machine's drift meets all of them alike; of each, the fastest round is reported with MiB of
+compressed file a second. A trial that fails is reported with its error and the others go on; the exit status is 1
+where counts differ. 0 threads stands for all cores. The TOML file may hold `threads`, `repeats`, `cold` and a table `tools` of
+thread lists (`engine`, `sequential`); the command line goes before it, and a file that is missing counts as empty.
+--tags runs the engine of each git tag of this repository, from a worktree of its own.
 """
 
 from __future__ import annotations
 
 import argparse
-import csv
 import os
 import subprocess
 import sys
+import tempfile
 import time
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, fields
-
-from braidspark.sources import files
-
-DEFAULT_THREADS, DEFAULT_REPEATS = [1, 2, 4, 8, 0], 3
-
-
-@dataclass
-class Result:
-    tool: str
-    threads: int
-    elapsed_s: float | None = None
-    throughput_mb_s: float | None = None
-    records: int | None = None
-    error: str = ""
-
-
-def load_config(path: str | None) -> dict:
-    if not path or not os.path.exists(path):
-        if path:
-            print(f"{path} is missing; defaults are used", file=sys.stderr)
-        return {}
-    import tomllib
-
-    with open(path, "rb") as f:
-        return tomllib.load(f)
-
-
-def resolve_threads(wanted: list[int]) -> list[int]:
-    """0 becomes the number of cores; repeats go, order stays."""
-    return list(dict.fromkeys(n or os.cpu_count() or 1 for n in wanted))
-
-
-def tool_threads(tool: str, config: dict, default: list[int]) -> list[int]:
-    return resolve_threads(config.get("tools", {}).get(tool, default))
-
-
-def drop_caches() -> None:
+import tomllib
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from dataclasses import dataclass, field
+
+import pandas as pd
+
+from braidspark.sources.files import file_size
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: What a run of one counter prints last is the number of records.
+COUNTERS = {
+    "engine": ["-m", "braidspark.cli.count", "-t", "{threads}", "{bam}", "{bai}"],
+    "sequential": ["-c", "import sys; from braidspark.api import sequential_count as f; print(f(sys.argv[1], int(sys.argv[2]))[0])", "{bam}", "{threads}"],
+}
+#: Columns of the result, in the order of other harnesses' files.
+COLUMNS = ["tool", "threads", "elapsed_s", "throughput_mb_s", "records", "error"]
+
+
+@dataclass(frozen=True)
+class Sweep:
+    bam: str
+    bai: str = ""
+    threads: dict[str, list[int]] = field(default_factory=lambda: {"engine": [1, 2, 4, 8, 0], "sequential": [1]})
+    repeats: int = 3
+    cold: bool = False
+    #: name -> folder of the sources to run
+    sources: dict[str, str] = field(default_factory=lambda: {"": ROOT})
+
+    def trials(self) -> Iterator[tuple[str, str, int]]:
+        """(tag, counter, threads) of one round."""
+        for tag in self.sources:
+            for tool, wanted in self.threads.items():
+                cores = [n if n else os.cpu_count() or 1 for n in wanted]
+                yield from ((tag, tool, n) for i, n in enumerate(cores) if n not in cores[:i])
+
+    def run(self) -> pd.DataFrame:
+        """One row for each run of a trial: tag, tool, threads, elapsed_s, records, error."""
+        rows = []
+        for _ in range(self.repeats):
+            for tag, tool, threads in self.trials():
+                if self.cold:
+                    forget_pages()
+                rows.append({"tag": tag, "tool": tool, "threads": threads, **self.observe(tag, tool, threads)})
+        return pd.DataFrame(rows)
+
+    def observe(self, tag: str, tool: str, threads: int) -> dict:
+        """One run in a process of its own, its start included, as one that a user would make."""
+        words = [w.format(threads=threads, bam=self.bam, bai=self.bai) if w.startswith("{") else w for w in COUNTERS[tool]]
+        environment = os.environ | {"PYTHONPATH": self.sources[tag]}
+        began = time.perf_counter()
+        done = subprocess.run([sys.executable, *filter(None, words)], capture_output=True, text=True, check=False, env=environment, cwd=os.path.dirname(os.path.abspath(self.bam)))
+        seconds = time.perf_counter() - began
+        said = done.stdout.split()
+        if done.returncode or not said or not said[-1].isdecimal():
+            return {"elapsed_s": None, "records": None, "error": (done.stderr.strip().splitlines() or [f"exit {done.returncode}"])[-1]}
+        return {"elapsed_s": seconds, "records": int(said[-1]), "error": ""}
+
+
+def forget_pages() -> None:
     """Empty the page cache, where this process may."""
-    try:
-        with open("/proc/sys/vm/drop_caches", "w") as f:
-            f.write("1")
-    except OSError:
-        pass
-
-
-def throughput(path: str, seconds: float) -> float:
-    return files.file_size(path) / 2**20 / seconds
-
-
-def timed_best(run: Callable[[], tuple[float, int]], repeats: int, cold: bool = False) -> tuple[float, int]:
-    """Fastest of some runs. Runs that count differently are an error."""
-    found = []
-    for _ in range(repeats):
-        if cold:
-            drop_caches()
-        found.append(run())
-    if len({n for _, n in found}) > 1:
-        raise ValueError(f"runs differ: {sorted({n for _, n in found})} records")
-    return min(found)
-
-
-def _engine(bam: str, bai: str | None, threads: int) -> tuple[float, int]:
-    """A process of its own, session start included, as one that a user would run."""
-    began = time.perf_counter()
-    command = [sys.executable, "-m", "braidspark.cli.count", "-t", str(threads), bam, *([bai] if bai else [])]
-    done = subprocess.run(command, capture_output=True, text=True, check=False)
-    if done.returncode:
-        raise RuntimeError(done.stderr.strip().splitlines()[-1] if done.stderr.strip() else f"exit {done.returncode}")
-    return time.perf_counter() - began, int(done.stdout.split()[-1])
-
-
-def _sequential(bam: str, bai: str | None, threads: int) -> tuple[float, int]:
-    from braidspark.api import sequential_count
-
-    began = time.perf_counter()
-    n, _ = sequential_count(bam)
-    return time.perf_counter() - began, n
-
-
-TOOLS = {"engine": _engine, "sequential": _sequential}
-
-
-def sweep(bam: str, bai: str | None, config: dict, threads: list[int], repeats: int) -> list[Result]:
-    out = []
-    for tool, run in TOOLS.items():
-        for n in tool_threads(tool, config, [1] if tool == "sequential" else threads):
-            try:
-                seconds, records = timed_best(lambda run=run, n=n: run(bam, bai, n), repeats, config.get("drop_caches", False))
-                out.append(Result(tool, n, seconds, throughput(bam, seconds), records))
-            except Exception as e:
-                out.append(Result(tool, n, error=f"{type(e).__name__}: {e}"))
-            print(row_text(out[-1]), flush=True)
-    return out
-
-
-def row_text(r: Result) -> str:
-    if r.error:
-        return f"{r.tool:12} {r.threads:4} error: {r.error}"
-    return f"{r.tool:12} {r.threads:4} {r.elapsed_s:9.3f} s {r.throughput_mb_s:9.1f} MiB/s {r.records} records"
-
-
-def write_csv(path: str, results: list[Result], tag: str | None = None) -> None:
-    names = [*(["tag"] if tag else []), *(f.name for f in fields(Result))]
-    with open(path, "w", newline="") as f:
-        out = csv.DictWriter(f, names)
-        out.writeheader()
-        for r in results:
-            out.writerow(({"tag": tag} if tag else {}) | asdict(r))
+    with suppress(OSError), open("/proc/sys/vm/drop_caches", "w") as f:
+        f.write("1")
+
+
+def summary(runs: pd.DataFrame, mib: float) -> pd.DataFrame:
+    """A row for each trial: its fastest run, or the first error."""
+    keys = ["tag", "tool", "threads"]
+    failed = runs[runs.error != ""].groupby(keys, sort=False).error.first()
+    best = runs.groupby(keys, sort=False).agg(elapsed_s=("elapsed_s", "min"), records=("records", "max")).join(failed)
+    best["error"] = best.error.fillna("")
+    best.loc[best.error != "", ["elapsed_s", "records"]] = None
+    best["throughput_mb_s"] = mib / best.elapsed_s.astype(float)
+    best["records"] = best.records.astype("Int64")
+    return best.reset_index()[["tag", *COLUMNS]]
+
+
+@contextmanager
+def checkout(tag: str):
+    """A worktree of a git tag of this repository, removed afterwards."""
+    with tempfile.TemporaryDirectory(prefix="braidspark-tag-") as folder:
+        git = ["git", "-C", ROOT, "worktree"]
+        subprocess.run([*git, "add", "--detach", f"{folder}/tree", tag], check=True, capture_output=True)
+        try:
+            yield f"{folder}/tree"
+        finally:
+            subprocess.run([*git, "remove", "--force", f"{folder}/tree"], check=False, capture_output=True)
+
+
+def settings(argv: list[str] | None) -> argparse.Namespace:
+    """The command line over the TOML file over the defaults."""
+    usage = argparse.ArgumentParser(prog="sweep", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    usage.add_argument("bam")
+    usage.add_argument("bai", nargs="?", default="")
+    usage.add_argument("--config", default="")
+    usage.add_argument("--threads", type=lambda text: [int(n) for n in text.split(",")])
+    usage.add_argument("--repeats", type=int)
+    usage.add_argument("--cold", action="store_true", default=None)
+    usage.add_argument("--tag", default="")
+    usage.add_argument("--tags", type=lambda text: text.split(","), default=[])
+    usage.add_argument("--csv")
+    given = usage.parse_args(argv)
+    stored: dict = {}
+    if given.config:
+        try:
+            with open(given.config, "rb") as f:
+                stored = tomllib.load(f)
+        except FileNotFoundError:
+            print(f"{given.config} is missing and counts as empty", file=sys.stderr)
+    plain = Sweep(given.bam)
+    own = stored.get("tools", {})
+    engine = given.threads or own.get("engine") or stored.get("threads") or plain.threads["engine"]
+    given.sweep = Sweep(given.bam, given.bai, {"engine": engine, "sequential": own.get("sequential", plain.threads["sequential"])}, given.repeats or stored.get("repeats", plain.repeats), stored.get("cold", False) if given.cold is None else True, {given.tag: ROOT})
+    return given
+
+
+def report(given: argparse.Namespace, runs: pd.DataFrame) -> pd.DataFrame:
+    table = summary(runs, file_size(given.bam) / 2**20)
+    return table if table.tag.any() else table.drop(columns="tag")
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = argparse.ArgumentParser(prog="sweep", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    args.add_argument("bam")
-    args.add_argument("bai", nargs="?")
-    args.add_argument("--config")
-    args.add_argument("--threads")
-    args.add_argument("--repeats", type=int)
-    args.add_argument("--tag")
-    args.add_argument("--csv")
-    own = args.parse_args(argv)
-    config = load_config(own.config)
-    threads = [int(x) for x in own.threads.split(",")] if own.threads else config.get("threads", DEFAULT_THREADS)
-    results = sweep(own.bam, own.bai, config, threads, own.repeats or config.get("repeats", DEFAULT_REPEATS))
-    if own.csv:
-        write_csv(own.csv, results, own.tag)
-    return int(len({r.records for r in results if not r.error}) > 1)
+    given = settings(argv)
+    if given.tags:
+        found = []
+        for tag in given.tags:
+            try:
+                with checkout(tag) as folder:
+                    found += Sweep(**{**vars(given.sweep), "sources": {tag: folder}}).run().to_dict("records")
+            except subprocess.CalledProcessError as e:
+                found.append({"tag": tag, "tool": "engine", "threads": 0, "elapsed_s": None, "records": None, "error": (e.stderr or b"").decode().strip()})
+        runs = pd.DataFrame(found)
+    else:
+        runs = given.sweep.run()
+    table = report(given, runs)
+    print(table.to_string(index=False))
+    if given.csv:
+        table.to_csv(given.csv, index=False)
+    return int(runs.records.dropna().nunique() > 1)
 
 
 if __name__ == "__main__":

@@ -36,14 +36,14 @@ def update_records(records: DataFrame, changes: dict[str, str], pattern: str) ->
     return records.withColumn("query_name", replace_in_name(pattern, changes["name"], strict))
 
 
-def filter_map(spark: SparkSession, path: str, out: str, transform: T | None = None, index: str | None = None, splits: int | None = None) -> int:
+def filter_map(spark: SparkSession, path: str, out: str, transform: T | None = None, index: str | None = None, splits: int | None = None, shards: bool = False) -> int:
     """Write `transform` (rows in, 0..1 rows out each, any DataFrame code without a shuffle) of a BAM's records to a new BAM.
 
-    All fields survive, tags and qualities byte by byte; the header is copied. Returns the number of records read.
+    All fields survive, tags and qualities byte by byte; the header is copied. shards: as in `write_bam`. Returns the number of records read.
     """
     seen = Observation()
     records = read_bam(spark, path, index, splits, full=True).observe(seen, F.count(F.lit(1)).alias("n"))
-    write_bam(transform(records) if transform else records, out, header_from=path)
+    write_bam(transform(records) if transform else records, out, header_from=path, shards=shards)
     return seen.get["n"]
 
 

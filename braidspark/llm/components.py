@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import materialize
+from braidspark.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,9 +41,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(kept, "components")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "components")
+        old, now = now, materialize(_small_star(_large_star(now)), "components")
+        release(old)
         before, state = state, _state(now)
         if state == before:
             break
     roots = now.select(F.col("dst").alias("node")).distinct()
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    out = now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    out = materialize(out, "components")
+    release(now)
+    return out

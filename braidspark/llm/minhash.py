@@ -21,8 +21,9 @@ The near-duplicate operator:
    no pair of a bucket that could be similar enough stays uncompared, and no pair is made only since a bucket holds both.
 
 Edge cases: null texts and texts without words have no duplicates; a text of one to four words is one
-shingle; rows with equal doc_id are one document, for which one of their texts stands; rows with null doc_id are
-left out; ties in rank are broken by the dart's hash; an empty table gives no rows; other columns are
+shingle. `document_classes` takes every distinct (doc_id, text) as a document, null doc_id included. `near_duplicates` itself takes
+doc_id as a key: rows with equal doc_id are one document, for which one of their texts stands, and rows with null doc_id are
+left out. Texts are equal if their words are, by a 128-bit hash; ties in rank are broken by the dart's hash; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, slices, small_batches
+from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, release, shingles, slices, small_batches
 from braidspark.llm.components import connected_components
 
 BANDS, ROWS = 24, 5
@@ -230,7 +231,7 @@ def _differences(k: int, weight: str):
 
 
 def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
-    """Pairs (src, dst) of members of one bucket, but of different components, that may be similar enough.
+    """Pairs (src, dst), written, of members of one bucket, but of different components, that may be similar enough.
 
     left: pivot (the bucket's first), rep, component, main (the pivot's component); every rep was compared with the pivot. An exact
     similarity join on what texts have otherwise than their pivot: with D(x) the elements that only one of x and the pivot
@@ -253,11 +254,13 @@ def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshol
     spread = spread.where("low != high").select(F.col("pivot").alias("sp"), F.col("element").alias("se"), "df")
     counted = materialize(grams.join(spread, (F.col("pivot") == F.col("sp")) & (F.col("element") == F.col("se")), "left").drop("sp", "se"), "differences")
     docs = counted.groupBy("pivot", "rep").agg(F.first("component").alias("component"), F.first("outside").alias("outside"), F.first("size").alias("size"), F.count("*").alias("d"), F.count("df").alias("s"))
-    docs = materialize(docs.withColumn("u", F.col("d") - gamma * F.col("size")), "differing")
+    old_docs = docs = materialize(docs.withColumn("u", F.col("d") - gamma * F.col("size")), "differing")
     for _ in range(3):  # every turn may raise the least that partners have, and so rule out more
         least = docs.groupBy("pivot").agg(F.min("u").alias("any"), F.min(F.when(F.col("outside"), F.col("u"))).alias("out")).select(F.col("pivot").alias("lp"), "any", "out")
         docs = docs.drop("need").join(least, F.col("pivot") == F.col("lp")).withColumn("need", F.ceil((F.col("u") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))) / 2 - 1e-9))
-        docs = materialize(docs.where(F.col("s") >= F.col("need")).drop("lp", "any", "out"), "differing")
+        old, docs = old_docs, materialize(docs.where(F.col("s") >= F.col("need")).drop("lp", "any", "out"), "differing")
+        release(old)
+        old_docs = docs
     by_text = Window.partitionBy("pivot", "rep").orderBy("df", "element")
     shown = counted.where("df is not null").join(docs.select(F.col("pivot").alias("dp"), F.col("rep").alias("dr"), "d", "s", "u", "need"), (F.col("pivot") == F.col("dp")) & (F.col("rep") == F.col("dr"))).drop("dp", "dr")
     # elements that count for no pair are the rarest of all
@@ -269,20 +272,24 @@ def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshol
     once = ~F.col("outside") | (F.col("rep") > F.col("o_rep"))
     room = F.least("s", "o_s", F.col("d") - F.col("place") + 1, F.col("o_d") - F.col("o_place") + 1) >= (F.col("u") + F.col("o_u")) / 2 - 1e-9
     meet = (F.col("pivot") == F.col("op")) & (F.col("element") == F.col("o_element")) & (F.col("component") != F.col("o_component")) & once & room
-    return shown.join(other, meet).select(F.greatest("rep", "o_rep").alias("src"), F.least("rep", "o_rep").alias("dst")).distinct()
+    out = materialize(shown.join(other, meet).select(F.greatest("rep", "o_rep").alias("src"), F.least("rep", "o_rep").alias("dst")).distinct(), "left-pairs")
+    release(apart, counted, docs, shown)
+    return out
 
 
 def _relabelled(components: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, component after further links: only the components that these join are worked on."""
     if components is None:
-        return materialize(connected_components(links), "classes")
+        return connected_components(links)
     first, second = (components.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("n1", "c1"), ("n2", "c2")))
     ends = links.join(first, F.col("src") == F.col("n1"), "left").join(second, F.col("dst") == F.col("n2"), "left")
-    joined = connected_components(ends.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
-    joined = materialize(joined.select(F.col("node").alias("j"), F.col("component").alias("to")), "joined")
+    found = connected_components(ends.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))
+    joined = found.select(F.col("node").alias("j"), F.col("component").alias("to"))
     old = components.join(joined, F.col("component") == F.col("j"), "left").select("node", F.coalesce("to", "component").alias("component"))
     new = joined.join(components, F.col("j") == F.col("node"), "left_anti").select(F.col("j").alias("node"), F.col("to").alias("component"))
-    return materialize(old.unionByName(new), "classes")
+    out = materialize(old.unionByName(new), "classes")
+    release(found, components)
+    return out
 
 
 def _placed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -309,29 +316,38 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float =
     signed = materialize(rows.mapInArrow(_sign(k, weight), SIGNED), "signatures")
     # equal words, one representative; of rows with one doc_id, the one with the smallest key stands for it
     key_of = signed.groupBy("doc_id").agg(F.min(F.struct("key", "text_hash")).alias("m")).select("doc_id", "m.key", "m.text_hash")
-    reps = key_of.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join can split the many copies of one text
+    reps = materialize(key_of.groupBy("key").agg(F.min("doc_id").alias("rep")), "representatives")
     membership = materialize(key_of.join(reps, "key").select("doc_id", "text_hash", "rep"), "membership")
+    release(reps)
     chosen = membership.where(F.col("doc_id") == F.col("rep")).select("rep", F.col("text_hash").alias("h"))
     is_chosen = (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("h"))
     own = signed.join(chosen, is_chosen).select("rep", "bands").dropDuplicates(["rep"])
     buckets = own.select("rep", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "n")
     shared = materialize(buckets.join(sizes, F.col("bucket") == F.col("b")).drop("b"), "buckets")
+    release(signed)
     # how many others a text meets: a group's centre meets the most, copies of it meet each other less often
     met = shared.groupBy(F.col("rep").alias("r")).agg(F.sum("n").alias("met"))
-    members = materialize(shared.join(met, F.col("rep") == F.col("r")).select("bucket", "rep", "met", (F.col("n") <= SMALL).alias("small")), "buckets")
-    wanted = chosen.join(members.select(F.col("rep").alias("r")), F.col("rep") == F.col("r"), "left_semi")
+    every = materialize(shared.join(met, F.col("rep") == F.col("r")).select("bucket", "rep", "met", (F.col("n") <= SMALL).alias("small")), "buckets")
+    release(shared)
+    wanted = chosen.join(every.select(F.col("rep").alias("r")), F.col("rep") == F.col("r"), "left_semi")
     texts = materialize(rows.join(wanted, is_chosen).select("rep", "text").dropDuplicates(["rep"]), "candidate-texts")
 
     most_met = F.max(F.struct("met", (-F.col("rep")).alias("least"), "rep"))
-    pivots = members.groupBy("bucket").agg(most_met.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("first"))
-    members = materialize(members.join(pivots, F.col("bucket") == F.col("b")).where(F.col("rep") != F.col("first")).drop("b"), "members")
+    pivots = every.groupBy("bucket").agg(most_met.alias("m")).select(F.col("bucket").alias("b"), F.col("m.rep").alias("first"))
+    members = materialize(every.join(pivots, F.col("bucket") == F.col("b")).where(F.col("rep") != F.col("first")).drop("b"), "members")
+    release(every)
     pairs = members.select(F.greatest("rep", "first").alias("src"), F.least("rep", "first").alias("dst"))
     other = members.where("small").select(F.col("bucket").alias("b"), F.col("rep").alias("dst"))
     each = members.where("small").join(other, (F.col("bucket") == F.col("b")) & (F.col("rep") > F.col("dst")))
     pairs = pairs.unionByName(each.select(F.col("rep").alias("src"), "dst"))
-    components = _relabelled(None, materialize(_links(materialize(pairs.distinct(), "pairs"), texts, k, weight, threshold), "links"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    found = materialize(_links(pairs, texts, k, weight, threshold), "links")
+    release(pairs)
+    components = _relabelled(None, found)
     open_ = _placed(members.where("not small").select("bucket", "rep", "met", "first"), components)
+    release(members, found)
     outside = lambda: open_.where("component != main").select("rep").distinct().count()
     now, before = outside(), None
     while now and (before is None or now <= shrinking * before):
@@ -344,13 +360,41 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float =
         found = materialize(_links(pairs, texts, k, weight, threshold), "links")
         if not found.isEmpty():
             components = _relabelled(components, found)
+        release(open_, found)
         open_ = _placed(met_next.select("bucket", "rep", "met", "first"), components)
+        release(met_next)
         before, now = now, outside()
     if now:
-        pairs = materialize(_left_pairs(open_.select(F.col("first").alias("pivot"), "rep", "component", "main"), texts, k, weight, threshold), "left-pairs")
+        pairs = _left_pairs(open_.select(F.col("first").alias("pivot"), "rep", "component", "main"), texts, k, weight, threshold)
         found = materialize(_links(pairs, texts, k, weight, threshold), "links")
         if not found.isEmpty():
             components = _relabelled(components, found)
+        release(pairs, found)
+    release(open_, texts)
     classes = membership.join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     wordless = rows.select("doc_id").distinct().join(membership.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_anti")
     return classes.unionByName(wordless.withColumn("class_id", F.col("doc_id")))
+
+
+def with_own_id(docs: DataFrame) -> DataFrame:
+    """Adds own_id: one 64-bit hash for each distinct (doc_id, text), nulls included. doc_id alone may be null or repeat.
+
+    Two different ones of n documents share a hash with odds of n^2 / 2^65.
+    """
+    return docs.withColumn("own_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
+
+
+def document_classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, own_id, class_id, kept of every distinct (doc_id, text): near_duplicates' classes, whatever doc_id is.
+
+    class_id: the smallest doc_id of the class, null if it has none. kept: true for one document of each class, the one of
+    that doc_id (of several, the one with the smallest own_id). Columns but doc_id and text are ignored.
+    """
+    keyed = with_own_id(docs.select(F.col("doc_id").cast("long"), "text"))
+    names = keyed.select("own_id", "doc_id").distinct()
+    classes = near_duplicates(keyed.select(F.col("own_id").alias("doc_id"), "text"), **how)
+    named = materialize(classes.select(F.col("doc_id").alias("classed"), F.col("class_id").alias("own_class")).join(names, F.col("classed") == F.col("own_id")).drop("classed"), "named")
+    first = named.groupBy(F.col("own_class").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own_id")).alias("m"))
+    # written, so that the join can split a class of a third of all documents
+    first = materialize(first.select("c", F.col("m.doc_id").alias("class_id"), F.col("m.own_id").alias("first")), "first-of-class")
+    return named.join(first, F.col("own_class") == F.col("c")).select("doc_id", "own_id", "class_id", (F.col("own_id") == F.col("first")).alias("kept"))

@@ -41,8 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
-    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return minhash.document_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,9 +186,11 @@ def mixed_documents(docs: DataFrame, columns: list[str], block_words: int | None
     parts = pieces.withColumn("copy", copy)
     start, end = F.greatest("first_word", F.col("copy") * F.col("size")), F.least(F.col("first_word") + F.col("n_words"), (F.col("copy") + 1) * F.col("size"))
     place = F.min(F.struct("position", (F.col("begins") + start - F.col("first_word")).alias("at"))).alias("place")
-    readings = parts.groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), "epoch", "copy").agg(F.sum(end - start).alias("words"), place).select("_key", "_source", "place", "words")
-    rows = docs.select(*columns, document_key(F.col("doc_id"), F.col("text")).alias("_own")).dropDuplicates(["_own", "source"])
-    joined = rows.join(readings, (F.col("_own") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")))
+    # keys without nulls: so texts are shuffled once for both the first of equal rows and the join
+    source = [F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_s_null")]
+    readings = parts.groupBy(F.col("key").alias("_k"), *source, "epoch", "copy").agg(F.sum(end - start).alias("words"), place).select("_k", "_s", "_s_null", "place", "words")
+    rows = docs.select(*columns, document_key(F.col("doc_id"), F.col("text")).alias("_k"), *source).dropDuplicates(["_k", "_s", "_s_null"])
+    joined = rows.join(readings, ["_k", "_s", "_s_null"])
     ordered = joined.select(*columns, "words", "place").repartitionByRange("place").sortWithinPartitions("place")
     # the first `words` words, with the blanks before and between them: at most one reading a source is cut
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)), 1, F.col("words").cast("int")), "")

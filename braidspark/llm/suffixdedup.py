@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import materialize, mix64, small_batches
+from braidspark.llm.common import materialize, mix64, release, small_batches
 
 LENGTH = 400
 GRAM = 64
@@ -382,6 +382,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     # written, so that the join can split a gram of a third of all runs
     grams = materialize(grams, "grams")
     candidates = materialize(found.join(grams, F.col("anchor") == F.col("g")).drop("g"), "candidate-runs")
+    release(found, grams)
     # of each context, one place to read it from and how often it occurs
     place = F.min(F.struct("doc_id", "text_hash", "at")).alias("place")
     distinct = candidates.where("not one").groupBy("anchor", "c1", "c2", "low", "high").agg(F.count("*").alias("n"), place)
@@ -400,6 +401,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         spans = spans.unionByName(_merge_shards(contexts.join(large, F.col("anchor") == F.col("g")), length, shard_contexts))
     spans = spans.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2")).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a context's windows
     spans = materialize(spans, "repeated")
+    release(contexts, large)
     many = candidates.where("not one").join(spans, (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2"))).select("doc_id", "text_hash", "at", "spans")
     # every run of a gram with one context repeats whole
     whole = candidates.where("one").select("doc_id", "text_hash", "at", F.array("low", "high").alias("spans"))

@@ -76,15 +76,20 @@ def copies_of_a_missing_text(n, seed=9, length=110):
 
 
 def test_thousands_of_copies_around_a_missing_text(spark, monkeypatch):
-    rows = copies_of_a_missing_text(1500)
-    made = {}
-    keep = minhash.materialize
-    monkeypatch.setattr(minhash, "materialize", lambda df, name, **o: made.setdefault(name, keep(df, name, **o)) if name == "left-pairs" else keep(df, name, **o))
+    rows = copies_of_a_missing_text(1000)
+    made, keep = [], minhash.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = classes_by_brute_force(rows)
-    assert got == want and 20 < len(set(want.values())) < 1400
-    # 600,000 pairs of outside texts would meet; nearly all are ruled out before
-    assert 0 < made["left-pairs"].count() < 20_000
+    assert got == want and 20 < len(set(want.values())) < 950
+    # hundreds of thousands of pairs of texts share a bucket; nearly all are ruled out before they meet
+    assert 0 < dict(made)["left-pairs"] < 20_000
 
 
 def test_near_duplicates_by_counts(spark):
@@ -125,6 +130,17 @@ def test_near_duplicates_edges(spark):
     assert got == [(1, 1), (2, 1)]
 
 
+def test_documents_are_told_apart_by_id_and_text(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(None, text(0)), (7, text(1)), (7, text(2)), (7, text(2)), (8, text(1) + " end"), (None, text(2) + " end"), (None, text(3)), (None, text(3) + " end"), (None, None), (5, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own_id", F.lit("clash")).withColumn("class_id", F.lit(1))
+    got = minhash.document_classes(df).collect()
+    assert sorted(((r.doc_id, r.class_id, r.kept) for r in got), key=str) == sorted(
+        [(None, None, True), (7, 7, True), (7, 7, True), (8, 7, False), (None, 7, False), (None, None, True), (None, None, False), (None, None, True), (5, 5, True), (None, None, True)], key=str
+    )
+    assert minhash.document_classes(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("weight", [False, True])
 def test_signatures_estimate_weighted_similarity(weight):
     rng = np.random.default_rng(4)
@@ -177,7 +193,7 @@ def repeats(seed=5):
 def test_suffix_dedup_matches_brute_force(spark, shard):
     docs = repeats()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("context", F.lit(1)).repartition(5)
-    got = {r[0]: tuple(r[1:]) for r in suffixdedup.digest(suffixdedup.remove_repeats(df, shard_contexts=shard)).collect()}
+    got = {r[0]: tuple(r[1:5]) for r in suffixdedup.digest(suffixdedup.remove_repeats(df, shard_contexts=shard)).collect()}
     assert got == dict(enumerate(suffixdedup.brute_force(docs)))
 
 
@@ -189,6 +205,35 @@ def test_suffix_dedup_edges(spark):
     assert got == [(0, 0), (0, 500), (1, 481), (1, 481)]
 
 
+def test_suffix_dedup_of_long_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "PART_BYTES", 300)
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 300)
+    docs = repeats()
+    blobs = [(d or "").encode() for d in docs]
+    parts = list(suffixdedup._parts(blobs, 400))
+    assert any(offset for _, offset, _ in parts)
+    whole = {(a, i) for a, b in enumerate(blobs) for i in range(len(b) - 399)}
+    seen = [(a + k, offset + i) for a, offset, texts in parts for k, t in enumerate(texts) for i in range(len(t) - 399)]
+    assert sorted(seen) == sorted(whole)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {}
+    run = suffixdedup._find_runs(400, 64)
+    batch = df.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")).toArrow().combine_chunks().to_batches()[0]
+    for got in run([batch]):
+        for r in got.to_pylist():
+            for d in range(r["low"], r["high"] + 1):
+                key = (r["doc_id"], r["at"] - d)
+                assert key not in found
+                found[key] = r["anchor"]
+    assert sorted(found) == sorted(whole)
+
+
+def test_what_is_left(spark):
+    df = spark.createDataFrame([(1, "é" + "x" * 450), (2, "x" * 450 + "ü"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in suffixdedup.digest(suffixdedup.remove_repeats(df)).collect()}
+    assert got == {1: (450, "é"), 2: (450, "ü"), 3: (0, "")}
+
+
 def test_suffix_dedup_cross_boundary_and_runs():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 3, 5000).astype(np.uint8)
@@ -235,6 +280,13 @@ def test_contamination_matches_brute_force(spark):
     assert sorted(tuple(r)[:4] for r in got.collect()) == expected and len(expected) > 50
 
 
+def test_contamination_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g h"), (None, "a b c d e f g h"), (1, None), (2, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f"), (3, "c d e f g h"), (4, None)], "item_id long, text string")
+    got = sorted((tuple(r)[:4] for r in decontam.contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(None, None, 2, 2)] * 2 + [(None, 3, 2, 2)] * 2, key=str)
+
+
 def test_contamination_in_chunks_and_empty(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "q r s t u v")], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"{x} r s t u v") for i, x in enumerate("qab")] + [(9, "a b c d e f")], "item_id long, text string")

@@ -6,7 +6,7 @@ and so bounded by the number of languages (at most MAX_LANGS), is broadcast. Sco
 n-grams of a slice of texts at once, counts them per text into a sparse (text, bucket, count) form
 and multiplies it with the matrix in numpy.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there
+Edge cases: a null text, or one without a letter (Unicode's categories L*), is ``und`` with score 0; so is every text if there
 is no training row. Rows whose lang is null are scored but not learned from. Repeated rows count as
 often as they occur; equal likelihoods go to the language that is first by code point. Texts are
 read whole. Clashing column names do not matter: only text (and lang for training) are read.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import mix64, slices, small_batches
+from braidspark.llm.common import slices, small_batches
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
@@ -31,7 +31,8 @@ MAX_LANGS = 1000
 FULL_GRAMS = 60
 SLICE_CHARS = 1 << 18
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are no decimal digits.
+LETTER_LIKE = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,11 @@ class LanguageModel:
     log_prob: np.ndarray  # buckets x languages
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of Unicode's categories L*: a half, a superscript two or a Roman numeral sign is none."""
+    return any(m.group().isalpha() for m in LETTER_LIKE.finditer(text or ""))
+
+
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, a blank before and after each; non-letters are blanks. And each text's length."""
     padded = [f" {t.lower()} " for t in texts]
@@ -140,7 +146,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            usable = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t)]
+            usable = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
             for a, b in slices([texts[i] for i in usable], SLICE_CHARS):
                 best, sure = score_texts(model, [texts[i] for i in usable[a:b]])
                 for i, k, s in zip(usable[a:b], best, sure):

@@ -12,8 +12,8 @@ candidate. Items of up to SHORT shingles are too small for the smallest partitio
 is looked up among theirs, and one that is found makes a candidate. The share of the item's distinct shingles that the whole document holds is then counted, and
 pairs at or above the threshold are returned.
 
-Items are a query set: they are read in chunks of at most CHUNK_ITEMS items, whose signatures and
-shingles are broadcast; documents are never shuffled, so hot sources, copies and passages only cost
+Items are a query set: they are read in chunks of about CHUNK_ITEMS items, one after another: a chunk's signatures and
+shingles are broadcast, and released when its pairs are written; documents are never shuffled, so hot sources, copies and passages only cost
 their own scan.
 
 Edge cases: words are runs of letters, digits and `_` in lower-cased text; a text of one to four words is one
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, mix64, shingles, slices, small_batches
+from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, slices, small_batches
 
 N_HASHES = 64
 SMALLEST = 8
@@ -177,12 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
     spark = docs.sparkSession
     small_batches(spark)
     n_chunks = benchmark.count() // CHUNK_ITEMS + 1
-    out = spark.createDataFrame([], PAIRS)
+    out = None
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
     for c in range(n_chunks):
         chunk = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == c)
         items = [(r[0], r[1]) for r in chunk.select(F.col("item_id").cast("long"), "text").collect()]  # about CHUNK_ITEMS texts
         shared = spark.sparkContext.broadcast(build_index(items, k))
-        found = narrow.mapInArrow(_search(shared, k, threshold), PAIRS)
-        out = found if n_chunks == 1 else out.unionByName(found)
+        found = materialize(narrow.mapInArrow(_search(shared, k, threshold), PAIRS), "contained")
+        out = found if out is None else out.unionByName(found)
+        shared.unpersist()
     return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, shingles, slices, small_batches
+from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, lean, materialize, mix64, shingles, slices, small_batches
 
 N_HASHES = 64
 SMALLEST = 8
@@ -183,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
         chunk = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == c)
         items = [(r[0], r[1]) for r in chunk.select(F.col("item_id").cast("long"), "text").collect()]  # about CHUNK_ITEMS texts
         shared = spark.sparkContext.broadcast(build_index(items, k))
-        found = materialize(narrow.mapInArrow(_search(shared, k, threshold), PAIRS), "contained")
+        found = materialize(narrow.mapInArrow(lean(_search(shared, k, threshold)), PAIRS), "contained")
         out = found if out is None else out.unionByName(found)
         shared.unpersist()
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import slices, small_batches
+from braidspark.llm.common import lean, slices, small_batches
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
@@ -100,7 +100,7 @@ def train(rows: DataFrame, alpha: float = 0.5) -> LanguageModel:
     """Fit on every row of (text, lang) whose lang and text are not null."""
     small_batches(rows.sparkSession)
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if (found := counts.where("bucket = -1").count()) > MAX_LANGS:
         raise ValueError(f"{found} languages; at most {MAX_LANGS} are supported")
     table = counts.toArrow()  # at most MAX_LANGS x (BUCKETS + 1) rows
@@ -156,4 +156,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
 
     source = docs.select(*keep, F.col("text").alias("__text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

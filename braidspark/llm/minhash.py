@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, materialize, mix64, release, shingles, slices, small_batches
+from braidspark.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, lean, materialize, mix64, release, shingles, slices, small_batches
 from braidspark.llm.components import connected_components
 
 BANDS, ROWS = 24, 5
@@ -211,7 +211,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, weight: str, threshold: float) -> DataFrame:
     """Pairs (src, dst) that are similar enough by their texts."""
-    return _with_texts(pairs, texts).mapInArrow(_verify(k, weight, threshold), "src long, dst long")
+    return _with_texts(pairs, texts).mapInArrow(lean(_verify(k, weight, threshold)), "src long, dst long")
 
 
 def _differences(k: int, weight: str):
@@ -248,7 +248,7 @@ def _left_pairs(left: DataFrame, texts: DataFrame, k: int, weight: str, threshol
     gamma = (1 - threshold) / (1 + threshold)
     left = left.select(F.col("pivot").alias("p"), F.col("rep").alias("r"), "component", (F.col("component") != F.col("main")).alias("outside"))
     pairs = left.select(F.col("r").alias("src"), F.col("p").alias("dst")).distinct()
-    apart = materialize(_with_texts(pairs, texts).mapInArrow(_differences(k, weight), "pivot long, rep long, size long, element long"), "differences")
+    apart = materialize(_with_texts(pairs, texts).mapInArrow(lean(_differences(k, weight)), "pivot long, rep long, size long, element long"), "differences")
     grams = apart.join(left.distinct(), (F.col("pivot") == F.col("p")) & (F.col("rep") == F.col("r"))).drop("p", "r")
     spread = grams.groupBy("pivot", "element").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     spread = spread.where("low != high").select(F.col("pivot").alias("sp"), F.col("element").alias("se"), "df")
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: float =
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).where(F.col("doc_id").isNotNull())
-    signed = materialize(rows.mapInArrow(_sign(k, weight), SIGNED), "signatures")
+    signed = materialize(rows.mapInArrow(lean(_sign(k, weight)), SIGNED), "signatures")
     # equal words, one representative; of rows with one doc_id, the one with the smallest key stands for it
     key_of = signed.groupBy("doc_id").agg(F.min(F.struct("key", "text_hash")).alias("m")).select("doc_id", "m.key", "m.text_hash")
     # written, so that the join can split the many copies of one text

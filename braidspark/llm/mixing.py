@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import materialize
+from braidspark.llm.common import lean, materialize
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 10_000
@@ -102,7 +102,7 @@ def schedule(spark, goals: list[int], n_slots: int) -> DataFrame:
         bounds.append((held << 32) // total)
     bounds = np.array(bounds, np.int64)
     parts = max(1, min(n_slots // SLOT_CHUNK + 1, 100_000))
-    slots = spark.range(0, n_slots, 1, parts).withColumnRenamed("id", "slot").mapInArrow(lambda b: _slots(b, bounds, indices), "slot long, source_index int")
+    slots = spark.range(0, n_slots, 1, parts).withColumnRenamed("id", "slot").mapInArrow(lean(lambda b: _slots(b, bounds, indices)), "slot long, source_index int")
     slots = slots.withColumn("chunk", (F.col("slot") / SLOT_CHUNK).cast("long"))
     per_chunk = slots.groupBy("source_index", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_index").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

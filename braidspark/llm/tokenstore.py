@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidspark.llm.common import small_batches
+from braidspark.llm.common import kept_for_own_tasks, small_batches
 
 TOKENS = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 SLICE_BYTES = 1 << 22
@@ -142,11 +142,14 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """A worker's encoder: what it remembers lasts from task to task."""
+    """A worker's encoder: what it remembers lasts from task to task, until another operator's task comes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Encoder(path)
 
 
+kept_for_own_tasks(encoder_of.cache_clear)
+
+
 def _gathered(batches):
     """Batches (doc_id, text) of about SLICE_BYTES of text, in order: the more texts at once, the fewer of their chunks are new."""
     held, size = [], 0

@@ -301,6 +301,20 @@ def test_token_store_empty(spark):
         tokenstore.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, queries.tokenizer_file(), layout="plain")
 
 
+def test_other_tasks_drop_the_encoder(spark, monkeypatch):
+    mapped, kind = [], type(spark.range(1))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: mapped.append(f) or plain(self, f, *a, **b))
+    mixing.schedule(spark, [3, 1], 10)
+    tokenstore.encoder_of(queries.tokenizer_file())
+    assert list(mapped[0](iter([]))) == []
+    assert tokenstore.encoder_of.cache_info().currsize == 0
+    # the store's own tasks keep it
+    tokenstore.encoder_of(queries.tokenizer_file())
+    list(tokenstore._digest(iter([])))
+    assert tokenstore.encoder_of.cache_info().currsize == 1
+
+
 def test_encoder_matches_library(tmp_path):
     import json
 

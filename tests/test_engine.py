@@ -204,3 +204,15 @@ def test_repeated_file(spark, sf, tmp_path):
     for splits in (1, 8, 100):
         assert api.count(spark, out, until_eof=True, splits=splits) == 5 * n
     assert api.splits(spark, out, most=8).count() == 8
+
+
+def test_sum_of_what_is_left(spark, small):
+    path, rows = small
+    flags = [r["flag"] for r in rows]
+    with api.AlignmentFile(spark, path) as f:
+        for given in (0, 1, 250, len(rows)):
+            reads = iter(f)
+            assert sum(next(reads).flag for _ in range(given)) == sum(flags[:given])
+            assert reads.rest().count() == len(reads) == len(rows) - given
+            assert reads.sum("flag") == sum(flags[given:])
+            assert len(reads) == 0 and list(reads) == []

@@ -216,3 +216,66 @@ def test_sum_of_what_is_left(spark, small):
             assert reads.rest().count() == len(reads) == len(rows) - given
             assert reads.sum("flag") == sum(flags[given:])
             assert len(reads) == 0 and list(reads) == []
+
+
+@pytest.fixture(scope="module")
+def noisy(spark, tmp_path_factory):
+    """A file of its own splitting index: 40,000 records, names and bases that hardly pack."""
+    path = str(tmp_path_factory.mktemp("noisy") / "n.bam")
+    bases = F.translate(F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(i)), 256) for i in range(2)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = spark.range(0, 40_000, 1, 3).select(F.sha2(F.col("id").cast("string"), 256).alias("query_name"), (F.col("id") % 3).cast("int").alias("flag"), bases.alias("query_sequence"))
+    return api.write_bam(rows, path), rows
+
+
+def test_written_files_are_read_by_many_tasks(spark, noisy, tmp_path):
+    path, rows = noisy
+    with open(path, "rb") as f:
+        _, first = bam.read_header(f)
+        places = [v for c in bam.scan(f, first, None) for v in c.voffsets.tolist()]
+    spots = datasource.bai.read_splitting(path, files.file_size(path))
+    assert len(spots) > 4 and set(spots) <= set(places) and spots[0] == first
+    for options in ({}, {"splits": 3}, {"splits": 1 << 30}):
+        got = api.read_bam(spark, path, columns=["query_name", "voffset"], **options)
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted(r.voffset for r in got.collect()) == places
+    assert [r.query_name for r in api.read_bam(spark, path, columns=["query_name"]).collect()] == [r.query_name for r in rows.select("query_name").collect()]
+    out = str(tmp_path / "shards")
+    api.write_bam(rows.coalesce(1), out, shards=True)
+    assert api.read_bam(spark, out, splits=4).rdd.getNumPartitions() > 1
+    assert api.read_bam(spark, out, splits=4).select("query_name").exceptAll(rows.select("query_name")).isEmpty()
+
+
+def test_an_old_splitting_index_does_no_harm(spark, noisy, tmp_path):
+    path, rows = noisy
+    out = str(tmp_path / "o.bam")
+    open(out, "wb").write(open(path, "rb").read())
+    api.write_bam(rows, out)
+    assert files.exists(out + ".sbi")
+    old = open(out + ".sbi", "rb").read()
+    api.write_bam(rows.limit(5), out)  # too small for one
+    assert not files.exists(out + ".sbi") and api.count(spark, out, until_eof=True) == 5
+    open(out + ".sbi", "wb").write(old)  # of a file of another size
+    assert api.count(spark, out, until_eof=True) == 5
+
+
+def test_index_by_the_executors(spark, tmp_path):
+    """Of a sorted file of many splits, some of whose records are unplaced or reach over windows, the index is that of one pass."""
+    bases = F.translate(F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(i)), 256) for i in range(2)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    placed, n = F.col("id") < 36_000, F.length("query_sequence").cast("string")
+    rows = spark.range(0, 40_000, 1, 3).select("id", F.sha2(F.col("id").cast("string"), 256).alias("query_name"), bases.alias("query_sequence")).select(
+        "query_name",
+        "query_sequence",
+        F.when(placed, (F.col("id") / 20_000).cast("int")).alias("reference_id"),
+        F.when(placed, F.col("id") % 20_000 * 5).alias("reference_start"),
+        F.when(F.col("id") % 7 == 0, F.concat(F.lit("10M"), F.col("id").cast("string"), F.lit("N"), F.lit("118M"))).otherwise(F.concat(n, F.lit("M"))).alias("cigarstring"),
+    )
+    path = api.write_bam(rows, str(tmp_path / "s.bam"), references=[["a", 10**6], ["b", 10**6], ["c", 10**6]])
+    whole = open(datasource.bai.build_index(path, str(tmp_path / "whole.bai")), "rb").read()
+    assert api.splits(spark, path, most=100).count() > 4
+    assert open(api.build_index(spark, path), "rb").read() == whole
+    # a stale index is not what the new one is planned by
+    open(path + ".bai", "wb").write(b"none")
+    assert open(api.build_index(spark, path), "rb").read() == whole
+    api.write_bam(rows.orderBy("query_name"), path, references=[["a", 10**6], ["b", 10**6], ["c", 10**6]])
+    with pytest.raises((ValueError, PySparkException), match="not sorted"):
+        api.build_index(spark, path)

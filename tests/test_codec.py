@@ -1,5 +1,6 @@
 """Codec and planner: hand-made bytes, planner vectors, adversarial layouts."""
 
+import gzip
 import io
 import struct
 
@@ -196,3 +197,19 @@ def test_zlib_and_libdeflate_agree(monkeypatch):
             with pytest.raises(ValueError):
                 bgzf.inflate_block(broken)
         assert found[0] == found[1] and len(found[0]) == n
+
+
+def test_blocks_are_packed_by_either_library(monkeypatch):
+    rng, own = np.random.default_rng(5), bgzf._deflate()
+    if own is None:
+        pytest.skip("no libdeflate here")
+    for n, kinds in ((0, 1), (1, 1), (5000, 4), (bgzf.PAYLOAD, 4), (bgzf.PAYLOAD, 256)):
+        data, found = rng.integers(0, kinds, n).astype(np.uint8).tobytes(), []
+        for library in (own, None):
+            monkeypatch.setattr(bgzf, "_DEFLATE", library)
+            found.append(bgzf.deflate_block(data))
+            assert bgzf.block_size(found[-1], 0) == len(found[-1])
+        for block in found:
+            assert bytes(bgzf.inflate_block(block)) == data == gzip.decompress(block)
+        if kinds == 4 and n > 1:
+            assert own.deflate(data, 6) == found[0][18:-8]

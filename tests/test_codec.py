@@ -213,3 +213,29 @@ def test_blocks_are_packed_by_either_library(monkeypatch):
             assert bytes(bgzf.inflate_block(block)) == data == gzip.decompress(block)
         if kinds == 4 and n > 1:
             assert own.deflate(data, 6) == found[0][18:-8]
+
+
+def test_decoding_takes_little_memory(tmp_path):
+    """Of a file of any size, the arrays of a batch at once."""
+    import tracemalloc
+
+    n = 300_000
+    names = pa.array([f"read-{i}" for i in range(n)])
+    batch = pa.record_batch({"query_name": names, "query_sequence": pa.array(["ACGTACGTACGTACGTACGT"] * n), "cigarstring": pa.array(["20M"] * n)})
+    with open(tmp_path / "m.bam", "wb") as f:
+        out = bgzf.BlockWriter(f)
+        out.write(bam.Header("").encode())
+        out.cut()
+        out.write_records(*bam.encode_records(batch))
+        out.finish()
+    del names, batch
+    columns = [name for name, _ in [*bam.CORE, *bam.REST]]
+    with open(tmp_path / "m.bam", "rb") as f:
+        _, first = bam.read_header(f)
+        tracemalloc.start()
+        try:
+            found = sum(bam.decode(c, columns).num_rows for c in bam.scan(f, first, None))
+            _, peak = tracemalloc.get_traced_memory()
+        finally:
+            tracemalloc.stop()
+    assert found == n and peak < 50 << 20, peak

@@ -279,3 +279,10 @@ def test_index_by_the_executors(spark, tmp_path):
     api.write_bam(rows.orderBy("query_name"), path, references=[["a", 10**6], ["b", 10**6], ["c", 10**6]])
     with pytest.raises((ValueError, PySparkException), match="not sorted"):
         api.build_index(spark, path)
+
+
+def test_shards_grow_with_the_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(fixtures, "SHARD_ROWS", 500)
+    monkeypatch.setattr(fixtures, "_made", {})
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert len(files.names_in(fixtures.odd_names_of(spark, sf))) == -(-n // 500) > 4

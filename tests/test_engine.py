@@ -286,3 +286,15 @@ def test_shards_grow_with_the_table(spark, sf, monkeypatch):
     monkeypatch.setattr(fixtures, "_made", {})
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert len(files.names_in(fixtures.odd_names_of(spark, sf))) == -(-n // 500) > 4
+
+
+def test_a_large_split_is_put_in_order_by_stretches(spark, noisy):
+    path, rows = noisy
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ordered = api.in_file_order(api.read_bam(spark, path, splits=1, columns=["query_name", "voffset", "split_id"], voffset=True))
+        got = ordered.select("position", "query_name", F.spark_partition_id().alias("task")).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r.position for r in got] == list(range(40_000)) and len({r.task for r in got}) > 1
+    assert [r.query_name for r in got] == [r.query_name for r in rows.select("query_name").collect()]

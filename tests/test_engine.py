@@ -298,3 +298,8 @@ def test_a_large_split_is_put_in_order_by_stretches(spark, noisy):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert [r.position for r in got] == list(range(40_000)) and len({r.task for r in got}) > 1
     assert [r.query_name for r in got] == [r.query_name for r in rows.select("query_name").collect()]
+
+
+def test_predicates_do_not_travel_to_the_writer(spark, small):
+    df = api.read_bam(spark, small[0], full=True)
+    assert api.stored(df).columns == [c for c in df.columns if c not in FLAG_COLUMNS] and len(api.stored(df).columns) < len(df.columns)
